@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 def _struct(text: str) -> T.StructType:
     """``"name type[!]"`` lines to a StructType; ``!`` marks a required column."""
     fields = []
     for line in text.strip().splitlines():
         name, kind = line.split()
         required = kind.endswith("!")
-        fields.append(T.StructField(name, T.DataType.fromDDL(kind.rstrip("!")), not required))
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], not required))
     return T.StructType(fields)
 
 
