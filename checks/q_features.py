@@ -170,9 +170,9 @@ def _d15(v):
     + " FROM (SELECT DISTINCT team, season FROM v_stats) c LEFT JOIN v_season p ON p.team = c.team AND p.season = c.season - 1",
 )
 def _c8(v):
-    stats = team_week.team_week_stats(v.plays)
-    prior = team_week.full_season_rates(stats).withColumn("season", F.col("season") + 1)
-    return stats.select("team", "season").distinct().join(prior, ["team", "season"], "left")
+    prior = team_week.with_prior_season(team_week.team_week_stats(v.plays))
+    names = [F.col(f"prior_{c}").alias(c) for c in BASE_RATES]
+    return prior.select("team", "season", *names).distinct()
 
 
 @query("e18_cold_start_features", _spec(BASE_RATES + ADDED_RATES), "SELECT * FROM v_feat")

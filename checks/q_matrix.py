@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from checks.register import query
 from checks.sql_views import Z_INPUTS
 from fieldmark.operators import folds, matrix, mismatch, situational, team_week
-from fieldmark.schemas import ADDED_RATES, BASE_RATES, SITUATIONAL, TEAM_FEATURES, both_sides, model_columns
+from fieldmark.plans.experiment import experiment_matrix
+from fieldmark.session import materialise
+from fieldmark.schemas import SITUATIONAL, TEAM_FEATURES, both_sides, model_columns
 from fieldmark.sources.readers import feature_games, feature_plays
 
 
@@ -15,6 +17,11 @@ def build(v):
     return matrix.build_matrix(feature_plays(v.plays), feature_games(v.games))
 
 
+def stored(v):
+    """The matrix as experiments use it: built once, read back by every later step."""
+    return experiment_matrix(feature_plays(v.plays), feature_games(v.games))
+
+
 def _floats(cols) -> str:
     return " ".join(f"{c}:f" for c in cols)
 
@@ -95,7 +102,7 @@ def _c7(v):
 
 @query("g6_pooled_sides", "season:i week:i " + _floats(Z_INPUTS), "SELECT * FROM v_pool")
 def _g6(v):
-    return mismatch.pool_sides(build(v), Z_INPUTS)
+    return mismatch.pool_sides(stored(v), Z_INPUTS)
 
 
 _Z = [f"{s}_{c}_z" for s in ("home", "away") for c in Z_INPUTS]
@@ -109,7 +116,7 @@ _Z = [f"{s}_{c}_z" for s in ("home", "away") for c in Z_INPUTS]
     + " FROM v_z h JOIN v_z a ON h.game_id = a.game_id AND h.side = 'home' AND a.side = 'away'",
 )
 def _e8(v):
-    return mismatch.expanding_zscores(build(v), Z_INPUTS)
+    return mismatch.expanding_zscores(stored(v), Z_INPUTS)
 
 
 _COMPOSITES = "home_ol_composite:f away_ol_composite:f home_def_composite:f away_def_composite:f"
@@ -117,17 +124,17 @@ _COMPOSITES = "home_ol_composite:f away_ol_composite:f home_def_composite:f away
 
 @query("e10_composites", f"game_id {_COMPOSITES}", "SELECT * FROM v_flag")
 def _e10(v):
-    return mismatch.composites(build(v))
+    return mismatch.composites(stored(v))
 
 
 @query("e9_quartile_cutoffs", "season:i week:i off_p75:f off_n:i def_p25:f def_n:i", "SELECT * FROM v_cut")
 def _e9(v):
-    return mismatch.expanding_cutoffs(mismatch.composites(build(v)))
+    return mismatch.expanding_cutoffs(materialise(mismatch.composites(stored(v)), "composites"))
 
 
 @query("e9_mismatch_flag", f"game_id season:i week:i ol_mismatch_flag:i {_COMPOSITES}", "SELECT * FROM v_flag")
 def _e9_flag(v):
-    return mismatch.mismatch_flag(build(v))
+    return mismatch.mismatch_flag(stored(v))
 
 
 @query(

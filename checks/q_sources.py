@@ -1 +1,238 @@
+"""Scans, type clean-up and written tables read back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from checks.register import query
+from fieldmark.operators.scoring import fold_metrics
+from fieldmark.schemas import PREDICTIONS, RUNS
+from fieldmark.session import scratch_path
+from fieldmark.sources import coerce, readers, sinks
+
+_GAME = "game_id season:i week:i home_team away_team home_score:i away_score:i home_spread_close:f home_covered:b"
+
+
+@query("a1_one_season", _GAME, "SELECT * FROM v_games WHERE season = 1997")
+def _a1(v):
+    path = scratch_path(v.spark, "games")
+    sinks.replace_partitions(v.games, path, ["home_team"])
+    return readers.read_table(v.spark, path, season=1997)
+
+
+_PLAY = "season:i week:i play_type n:i epa_sum:f yards:i cpoe_sum:f sacks:i hits:i downs:i"
+
+
+@query("a2_pruned_plays", _PLAY, """
+SELECT season, week, play_type, COUNT(*) AS n, SUM(epa) AS epa_sum, SUM(yards_gained) AS yards, SUM(cpoe) AS cpoe_sum, SUM(sack) AS sacks,
+  SUM(qb_hit) AS hits, SUM(down) AS downs FROM v_plays GROUP BY 1, 2, 3""")
+def _a2(v):
+    return (
+        readers.feature_plays(v.plays)
+        .groupBy("season", "week", "play_type")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("epa").alias("epa_sum"),
+            F.sum("yards_gained").alias("yards"),
+            F.sum("cpoe").alias("cpoe_sum"),
+            F.sum("sack").alias("sacks"),
+            F.sum("qb_hit").alias("hits"),
+            F.sum("down").alias("downs"),
+        )
+    )
+
+
+@query("a3_pruned_games", _GAME + " game_date total_close:f roof div_game:b temp:f wind:f", "SELECT * FROM v_games")
+def _a3(v):
+    return readers.feature_games(v.games)
+
+
+@query("a4_stamped_source", "game_id season:i week:f old_player_id source license_tag", """
+SELECT game_id, season, week, CASE WHEN old_player_id LIKE '%.0' THEN substr(old_player_id, 1, length(old_player_id) - 2) ELSE old_player_id END AS old_player_id,
+  'schedules' AS source, 'open' AS license_tag FROM v_raw_games""")
+def _a4(v):
+    path = scratch_path(v.spark, "landed")
+    sinks.append(v.raw_games, path)
+    adapter = readers.LandedTable(path, ["game_id", "season"], 0, 1_000_000, source="schedules")
+    return adapter.normalize(adapter.fetch(v.spark))
+
+
+@query("a5_csv_source", "game_id season:i home_spread_close:f home_covered:b roof", "SELECT * FROM v_games")
+def _a5(v):
+    path = scratch_path(v.spark, "csv")
+    sinks.write_csv(v.games.select("game_id", "season", "home_spread_close", "home_covered", "roof"), path)
+    return readers.read_csv(v.spark, path)
+
+
+@query("a6_json_source", "event_id:i user_id:i event_type value:f", "SELECT event_id, user_id, event_type, value FROM events")
+def _a6(v):
+    """Arrays of at most a thousand objects, one per line, written from the events."""
+    path = scratch_path(v.spark, "json")
+    rows = v.table("events").select("event_id", "user_id", "event_type", "value")
+    chunk = F.floor(F.col("event_id") / 1000).alias("chunk")
+    lines = rows.groupBy(chunk).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("line"))
+    lines.select("line").write.text(path)
+    return readers.read_json_records(
+        v.spark, path, "event_id bigint, user_id bigint, event_type string, value double", whole_file=False
+    )
+
+
+@query("a7_harmonised", "game_id home_score away_score old_player_id", """
+SELECT game_id, CASE WHEN home_score <> 'nan' THEN home_score END AS home_score, CASE WHEN away_score <> 'None' THEN away_score END AS away_score,
+  CASE WHEN old_player_id LIKE '%.0' THEN substr(old_player_id, 1, length(old_player_id) - 2) ELSE old_player_id END AS old_player_id
+FROM v_raw_games""")
+def _a7(v):
+    return coerce.harmonise(v.raw_games)
+
+
+@query("a8_widened", "name kind season:i total:f", """
+SELECT name, kind, season, total FROM (SELECT season, CAST(SUM(week) AS DOUBLE) AS total FROM v_raw_games GROUP BY 1) s
+CROSS JOIN (VALUES ('season', 'int'), ('week', 'double'), ('surface', 'string')) AS t(name, kind)""")
+def _a8(v):
+    wide = coerce.widen(v.raw_games.withColumn("surface", F.lit(None)))
+    kinds = [(f.name, f.dataType.simpleString()) for f in wide.schema.fields if f.name in ("season", "week", "surface")]
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("kind")) for n, k in kinds])
+    return wide.groupBy("season").agg(F.sum("week").alias("total")).select("season", "total", F.inline(listed))
+
+
+@query("a9_numbers_from_text", "season:i n:i numbers:i total:f", """
+SELECT season, COUNT(*) AS n, COUNT(TRY_CAST(yards_gained AS DOUBLE)) AS numbers, SUM(TRY_CAST(yards_gained AS DOUBLE)) AS total FROM v_raw_plays GROUP BY 1""")
+def _a9(v):
+    return (
+        coerce.to_numeric(v.raw_plays, ["yards_gained"])
+        .groupBy("season")
+        .agg(F.count("*").alias("n"), F.count("yards_gained").alias("numbers"), F.sum("yards_gained").alias("total"))
+    )
+
+
+@query("a10_conformed", "season:i n:i yards:i downs:i passers:i extra:i", """
+SELECT season, COUNT(*) AS n, SUM(TRY_CAST(yards_gained AS INT)) AS yards, SUM(CAST(down AS INT)) AS downs,
+  COUNT(CASE WHEN passer_player_name NOT IN ('none', 'NaN') THEN 1 END) AS passers, COUNT(*) AS extra FROM v_raw_plays GROUP BY 1""")
+def _a10(v):
+    target = T.StructType(
+        [
+            T.StructField("yards_gained", T.IntegerType()),
+            T.StructField("down", T.IntegerType()),
+            T.StructField("passer_player_name", T.StringType()),
+            T.StructField("play_id", T.StringType()),
+        ]
+    )
+    out = coerce.conform(v.raw_plays.withColumn("unlisted", F.lit(1)), target)
+    return out.groupBy("season").agg(
+        F.count("*").alias("n"),
+        F.sum("yards_gained").alias("yards"),
+        F.sum("down").alias("downs"),
+        F.count("passer_player_name").alias("passers"),
+        F.sum("unlisted").alias("extra"),
+    )
+
+
+@query("a11_replaced_partition", _GAME, """
+SELECT game_id, season, week, home_team, away_team, home_score, away_score,
+  CASE WHEN season = 1998 THEN home_spread_close + 1 ELSE home_spread_close END AS home_spread_close, home_covered FROM v_games""")
+def _a11(v):
+    """Replacing one season twice leaves the other seasons and no duplicates."""
+    path = scratch_path(v.spark, "games")
+    sinks.replace_partitions(v.games, path, ["home_team"])
+    changed = v.games.where("season = 1998").withColumn("home_spread_close", F.col("home_spread_close") + 1)
+    for _ in range(2):
+        sinks.replace_partitions(changed, path, ["home_team"])
+    return readers.read_table(v.spark, path)
+
+
+@query("a12_partitioned_table", "season:i posteam n:i", "SELECT season, posteam, COUNT(*) AS n FROM v_plays GROUP BY 1, 2")
+def _a12(v):
+    path = scratch_path(v.spark, "plays")
+    sinks.create_table(v.spark, path, v.plays.schema, "season")
+    sinks.replace_partitions(v.plays, path, ["game_id", "posteam"], files=2)
+    return readers.read_table(v.spark, path).groupBy("season", "posteam").agg(F.count("*").alias("n"))
+
+
+@query("a13_appended_predictions", "run_id experiment_id fold:i game_id season:i week:i predicted_home_cover_prob:f predicted_side correct:i ol_mismatch_flag:i",
+       "SELECT * FROM v_preds")
+def _a13(v):
+    path = scratch_path(v.spark, "predictions")
+    sinks.create_table(v.spark, path, PREDICTIONS, "season")
+    for run in ("run_p1", "run_p2", "run_p3"):
+        sinks.append_predictions(v.predictions.where(F.col("run_id") == run), path)
+    return readers.read_table(v.spark, path)
+
+
+@query("a14_appended_runs", "run_id experiment_id ats_hit_rate:f n_games_evaluated:i gate_passed:b seasons_evaluated", """
+SELECT p.run_id, p.experiment_id, hit AS ats_hit_rate, n AS n_games_evaluated, FALSE AS gate_passed, s AS seasons_evaluated
+FROM (SELECT run_id, experiment_id, CAST(COUNT(*) FILTER (WHERE correct = 1) AS DOUBLE) / COUNT(correct) AS hit, COUNT(correct) AS n,
+  concat('[', string_agg(DISTINCT season, ',' ORDER BY season), ']') AS s FROM v_preds GROUP BY 1, 2) p""")
+def _a14(v):
+    path = scratch_path(v.spark, "runs")
+    per_run = v.predictions.groupBy("run_id", "experiment_id").agg(
+        F.try_divide(F.count_if(F.col("correct") == 1).cast("double"), F.count("correct")).alias("ats_hit_rate"),
+        F.count("correct").alias("n_games_evaluated"),
+        F.sort_array(F.collect_set("season")).alias("seasons_evaluated"),
+    )
+    stamped = per_run.withColumns(
+        {
+            "name": F.lit("stored"),
+            "run_at": F.current_timestamp(),
+            "model_type": F.lit("fixed"),
+            "gate_passed": F.lit(False),
+        }
+    )
+    sinks.append(sinks.run_record(stamped), path)
+    return v.spark.read.parquet(path)
+
+
+@query("a15_failed_run_record", "season:i n:i message_length:i status", """
+SELECT season, COUNT(*) AS n, 4096 AS message_length, 'failed' AS status FROM v_games GROUP BY 1""")
+def _a15(v):
+    """A failed-run record beside the seasons it would have covered."""
+    from datetime import datetime
+
+    run = {"run_id": "r", "experiment_id": "e", "name": "n", "run_at": datetime(2002, 1, 1), "model_type": "m"}
+    path = scratch_path(v.spark, "runs")
+    sinks.append(sinks.error_record(v.spark, run, "x" * 5000), path)
+    one = v.spark.read.schema(RUNS).parquet(path).select(F.struct(F.length("error_message").alias("l"), "status")).scalar()
+    return (
+        v.games.groupBy("season")
+        .agg(F.count("*").alias("n"))
+        .withColumn("_r", one)
+        .select("season", "n", F.col("_r.l").alias("message_length"), F.col("_r.status").alias("status"))
+    )
+
+
+@query("a16_evolved_schema", "game_id season:i crowd:i roof", """
+SELECT game_id, season, NULL AS crowd, roof FROM v_games WHERE season < 1998
+UNION ALL SELECT game_id, season, hk AS crowd, NULL AS roof FROM v_games WHERE season >= 1998""")
+def _a16(v):
+    path = scratch_path(v.spark, "evolving")
+    old = v.games.where("season < 1998").select("game_id", "season", "roof")
+    new = v.games.where("season >= 1998").select("game_id", "season", F.col("hk").alias("crowd"))
+    sinks.append(old, path, "season")
+    sinks.append(new, path, "season")
+    stored = readers.read_table(v.spark, path)
+    return sinks.evolve(stored.where("season < 1998").drop("crowd"), stored.where("season >= 1998").drop("roof"))
+
+
+@query("a17_replaced_table", "game_id crowd:f", "SELECT * FROM v_user_games WHERE CAST(crowd AS INT) > 10")
+def _a17(v):
+    path = scratch_path(v.spark, "user")
+    sinks.replace_table(v.user_games, path)
+    sinks.replace_table(v.user_games.where(F.col("crowd").cast("int") > 10), path)
+    return v.spark.read.parquet(path)
+
+
+@query("a18_artifacts", "season:i wins:i losses:i model_log_loss:f", """
+SELECT season, COUNT(*) FILTER (WHERE correct = 1) AS wins, COUNT(*) FILTER (WHERE correct = 0) AS losses,
+  AVG(CASE WHEN actual_home_covered THEN -ln(predicted_home_cover_prob) WHEN NOT actual_home_covered THEN -ln(1 - predicted_home_cover_prob) END) AS model_log_loss
+FROM v_preds GROUP BY 1""")
+def _a18(v):
+    csv, js = scratch_path(v.spark, "per_season_csv"), scratch_path(v.spark, "per_season_json")
+    metrics = fold_metrics(v.predictions, ["season"])
+    sinks.write_csv(metrics, csv)
+    sinks.write_json(metrics.select("season", "model_log_loss"), js)
+    return readers.read_csv(v.spark, csv).drop("model_log_loss").join(v.spark.read.json(js), "season")
+
+
+@query("a19_sample_rows", "game_id season:i", "SELECT game_id, season FROM v_games ORDER BY game_id LIMIT 20")
+def _a19(v):
+    return sinks.sample_rows(v.games, 20, ["game_id"])

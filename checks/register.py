@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.sql_views import compose
-from checks.views import Views
+from checks.views import Views, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +49,7 @@ def query(name: str, spec: str, sql: str | None = None):
     def wrap(fn: Callable[[Views], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: typed(fn(Views(spark, sf_dir)), spec)
+        QUERIES[name] = lambda spark, sf_dir: typed(fn(views(spark, sf_dir)), spec)
         if sql is not None:
             ORACLES[name] = typed_sql(sql, spec)
         return fn

@@ -52,7 +52,7 @@ def main() -> int:
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     parts = args[1:]
     queries, oracles = all_queries()
-    spark = build_session("checks", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false")
+    spark = build_session("checks", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     failed = []

@@ -437,6 +437,17 @@ class Views:
         return compare.latest(versions, ["dataset_id", "column_name"], ["seq"])
 
 
+_views: dict[tuple[str, str], Views] = {}
+
+
+def views(spark: SparkSession, sf_dir: str) -> Views:
+    """One set of lazy view definitions per session and folder; no data is kept."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _views:
+        _views[key] = Views(spark, sf_dir)
+    return _views[key]
+
+
 # (run number, weight of the home key, weight of the away key)
 RUN_WEIGHTS = [(1, 37, 17), (2, 13, 29), (3, 7, 3)]
 

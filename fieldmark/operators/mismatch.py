@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldmark.operators.quantiles import quantiles
+from fieldmark.session import materialise
 
 # The composites' inputs and cut-offs.
 OFF_EPA = "ol_pass_epa_per_att"
@@ -104,8 +105,11 @@ def expanding_cutoffs(scored: DataFrame) -> DataFrame:
 
 
 def mismatch_flag(games: DataFrame) -> DataFrame:
-    """1: strong home offence meets weak away defence; 2: the reverse; 0: neither."""
-    scored = composites(games)
+    """1: strong home offence meets weak away defence; 2: the reverse; 0: neither.
+
+    The scored games are stored once, since the cut-offs read them several times.
+    """
+    scored = materialise(composites(games), "composites")
     cut = expanding_cutoffs(scored)
     joined = scored.join(cut, ["season", "week"], "left")
     enough = (F.col("off_n") >= MIN_POOL) & (F.col("def_n") >= MIN_POOL)

@@ -75,7 +75,7 @@ def favourite_crosstab(preds: DataFrame) -> DataFrame:
     return (
         preds.groupBy((F.col("home_spread_close") > 0).alias("home_favoured"))
         .pivot("predicted_side", ["home", "away"])
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .fillna(0, subset=["home", "away"])
     )
 

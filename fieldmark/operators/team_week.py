@@ -307,27 +307,41 @@ def league_means(season_rates: DataFrame, cols: list[str], as_of: int | None = N
     return by_season.agg(*[F.min_by(c, "season").alias(c) for c in cols])
 
 
-def fill_week_one(
-    df: DataFrame, season_rates: DataFrame, cols: list[str], as_of: int | None = None
-) -> DataFrame:
-    """Week 1 takes last season's full rates, else the earliest league mean."""
-    prior = season_rates.select(
-        "team", (F.col("season") + 1).alias("season"), *[F.col(c).alias(f"_prior_{c}") for c in cols]
+def with_prior_season(stats: DataFrame) -> DataFrame:
+    """Add last season's full rates as ``prior_<rate>``, NULL where the team did not play it.
+
+    A range frame of exactly one season back replaces a self-join; a team's history is at most
+    one row per week, so partitioning by team alone stays small.
+    """
+    back = Window.partitionBy("team").orderBy("season").rangeBetween(-1, -1)
+    names = [*COUNTS, "off_all_play_count", "off_all_epa_sum"]
+    totals = stats.withColumns({f"{c}_prior": F.sum(c).over(back) for c in names})
+    trend = F.col("off_all_epa_sum_prior") / F.greatest(F.col("off_all_play_count_prior"), F.lit(1))
+    rates = {**base_rates("_prior"), **added_rates("_prior")}
+    rates["rolling_3wk_epa_trend"] = F.when(F.col("off_all_play_count_prior").isNotNull(), trend)
+    return totals.withColumns({f"prior_{n}": e for n, e in rates.items()}).drop(*[f"{c}_prior" for c in names])
+
+
+def fill_week_one(df: DataFrame, league: DataFrame, cols: list[str]) -> DataFrame:
+    """Week 1 takes last season's full rates (``prior_<rate>``), else the one-row league mean."""
+    means = league.select(F.struct(*cols)).scalar()
+    return (
+        df.withColumn("_league", means)
+        .withColumns(
+            {
+                c: F.when(
+                    F.col("week") == 1, F.coalesce(F.col(f"prior_{c}"), F.col("_league").getField(c))
+                ).otherwise(F.col(c))
+                for c in cols
+            }
+        )
+        .drop("_league", *[f"prior_{c}" for c in cols])
     )
-    league = league_means(season_rates, cols, as_of).select(F.struct(*cols)).scalar()
-    filled = df.join(prior, ["team", "season"], "left").withColumn("_league", league)
-    return filled.withColumns(
-        {
-            c: F.when(
-                F.col("week") == 1, F.coalesce(F.col(f"_prior_{c}"), F.col("_league").getField(c))
-            ).otherwise(F.col(c))
-            for c in cols
-        }
-    ).drop("_league", *[f"_prior_{c}" for c in cols])
 
 
 def team_features(plays: DataFrame, as_of: int | None = None) -> DataFrame:
     """Base and additional features per team-week, week 1 filled, with sample flags."""
     stats = team_week_stats(plays)
-    rates = sample_flags(season_to_date(stats))
-    return fill_week_one(rates, full_season_rates(stats), BASE_RATES + ADDED_RATES, as_of)
+    rates = sample_flags(season_to_date(with_prior_season(stats)))
+    cols = BASE_RATES + ADDED_RATES
+    return fill_week_one(rates, league_means(full_season_rates(stats), cols, as_of), cols)

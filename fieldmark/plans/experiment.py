@@ -34,7 +34,7 @@ from fieldmark.operators.models import (
 from fieldmark.operators.permute import permuted_copies, shuffle_labels
 from fieldmark.operators.scoring import fold_metrics, gate, mean_importance, record, score, totals
 from fieldmark.schemas import GATE_HIT_RATE, GATE_MIN_GAMES, model_columns
-from fieldmark.session import ensure_checkpoint_dir
+from fieldmark.session import ensure_checkpoint_dir, materialise
 from fieldmark.sources.sinks import append, append_predictions, error_record, run_record
 
 # Folds fitted at the same time. Each fit is a Spark job chain with idle gaps between its
@@ -58,7 +58,7 @@ def prepare_folds(matrix: DataFrame, fold_rows: DataFrame, cols: list[str]) -> D
     """All folds standardised in one job and cut from their lineage."""
     ensure_checkpoint_dir(matrix.sparkSession)
     tagged = assign_roles(matrix, fold_rows)
-    return assemble(standardise(tagged, cols), cols).checkpoint()
+    return materialise(assemble(standardise(tagged, cols), cols), "folds")
 
 
 def walk_forward(
@@ -148,9 +148,8 @@ def attach_user_features(matrix: DataFrame, features: list[dict], user_tables: d
 
 def experiment_matrix(plays: DataFrame, games: DataFrame, with_mismatch: bool = False) -> DataFrame:
     """The full matrix, stored once so that several runs and folds read it back."""
-    ensure_checkpoint_dir(games.sparkSession)
-    matrix = build_matrix(plays, games).checkpoint()
-    return mismatch_flag(matrix).checkpoint() if with_mismatch else matrix
+    matrix = materialise(build_matrix(plays, games), "matrix")
+    return materialise(mismatch_flag(matrix), "flagged") if with_mismatch else matrix
 
 
 def run_experiment(
