@@ -70,7 +70,7 @@ def game_matrix(
     """Features of both teams plus context; unknown requested columns are skipped."""
     wanted = TEAM_FEATURES if cols is None else cols
     available = [c for c in wanted if c in features.columns]
-    out = add_context(attach_sides(games, features, available), as_of)
+    out = attach_sides(add_context(games, as_of), features, available)
     return add_rest_differential(out) if "rest_days" in available else out
 
 

@@ -52,7 +52,6 @@ def measures() -> dict[str, Column]:
         "rush_explosive_count": _sum_if(run_play, at_least(yards, RUN_EXPLOSIVE_YARDS)),
         "total_play_count": F.count(F.when(downed, epa)),
         "total_epa_sum": _sum_if(downed, epa),
-        "spine_plays": F.count_if(F.col("play_type").isin("pass", "run")),
     }
 
 
@@ -167,31 +166,93 @@ def spine(plays: DataFrame) -> DataFrame:
     return off.union(dfn).where(F.col("team").isNotNull()).distinct()
 
 
+def play_kind() -> Column:
+    """pass / run / other for plays with a down, ``live`` for pass and run plays without one."""
+    live = F.col("play_type").isin("pass", "run")
+    downed = F.col("down").isNotNull()
+    return F.when(downed, F.when(live, F.col("play_type")).otherwise("other")).when(live, "live")
+
+
+# Additive measures of a group of plays of one kind. Inside a kind no condition on the play
+# type is left, so each row costs a handful of plain sums.
+def kind_measures() -> dict[str, Column]:
+    epa, yards = F.col("epa"), F.col("yards_gained")
+    sack, hit = F.coalesce(F.col("sack").cast("int"), F.lit(0)), F.coalesce(F.col("qb_hit").cast("int"), F.lit(0))
+    limit = F.when(F.col("kind") == "pass", PASS_EXPLOSIVE_YARDS).otherwise(RUN_EXPLOSIVE_YARDS)
+    hurried = F.when(pressured(hit, sack) == 1, epa)
+    return {
+        "n": F.count("*"),
+        "sacks": F.sum(sack),
+        "hits": F.sum(hit),
+        "epa": F.sum(epa),
+        "epa_n": F.count(epa),
+        "yards": F.sum(yards),
+        "explosive": F.sum(at_least(yards, limit)),
+        "hurried_n": F.count(hurried),
+        "hurried_epa": F.sum(hurried),
+        "cpoe": F.sum("cpoe"),
+        "cpoe_n": F.count("cpoe"),
+    }
+
+
+# Output count -> (kinds it covers, measure).
+_OFFENCE_PARTS = {
+    "pass_att": (["pass"], "n"),
+    "sacks": (["pass"], "sacks"),
+    "qb_hits": (["pass"], "hits"),
+    "pass_epa_sum": (["pass"], "epa"),
+    "rush_att": (["run"], "n"),
+    "rush_epa_sum": (["run"], "epa"),
+    "rush_yards_sum": (["run"], "yards"),
+    "pass_att_v2": (["pass"], "epa_n"),
+    "pass_explosive_count": (["pass"], "explosive"),
+    "pressure_play_count": (["pass"], "hurried_n"),
+    "pressure_epa_sum": (["pass"], "hurried_epa"),
+    "cpoe_sum": (["pass"], "cpoe"),
+    "cpoe_count": (["pass"], "cpoe_n"),
+    "rush_att_v2": (["run"], "epa_n"),
+    "rush_explosive_count": (["run"], "explosive"),
+}
+_DEFENCE_PARTS = {
+    "def_total_play_count": (["pass", "run", "other"], "epa_n"),
+    "def_total_epa_sum": (["pass", "run", "other"], "epa"),
+    **{f"def_{c}": _OFFENCE_PARTS[c] for c in DEFENCE_BASE.values()},
+    **{f"def_{c}": _OFFENCE_PARTS[c] for c in DEFENCE_ADDED.values() if not c.startswith("total_")},
+}
+
+
 def team_week_stats(plays: DataFrame) -> DataFrame:
-    """All 28 counts on the team-week spine from one scan and without a join."""
-    cube = plays.groupBy("posteam", "defteam", "season", "week").agg(
-        *[e.alias(n) for n, e in measures().items()]
+    """All 28 counts on the team-week spine from one scan and without a join.
+
+    First pass: plain sums per (offence, defence, season, week, kind). Second pass, on that
+    small table: each row is seen by both teams and spread over the 28 columns.
+    """
+    pair_weeks = (
+        plays.withColumn("kind", play_kind())
+        .where(F.col("kind").isNotNull())
+        .groupBy("posteam", "defteam", "season", "week", "kind")
+        .agg(*[e.alias(n) for n, e in kind_measures().items()])
+    )
+    both = F.array(
+        F.struct(F.col("posteam").alias("team"), F.lit(True).alias("has_ball")),
+        F.struct(F.col("defteam").alias("team"), F.lit(False).alias("has_ball")),
     )
-    off, dfn = {**OFFENCE_BASE, **OFFENCE_ADDED}, {**DEFENCE_BASE, **DEFENCE_ADDED}
+    sides = pair_weeks.select("*", F.inline(both)).where(F.col("team").isNotNull())
 
-    def perspective(team: str, mine: dict[str, str]) -> Column:
-        cols = [
-            (F.col(mine[c]).cast("double") if c in mine else F.lit(None).cast("double")).alias(c) for c in COUNTS
-        ]
-        return F.struct(F.col(team).alias("team"), "spine_plays", *cols)
+    def total(has_ball: bool, kinds: list[str], measure: str) -> Column:
+        mine = F.col("has_ball") if has_ball else ~F.col("has_ball")
+        picked = F.sum(F.when(mine & F.col("kind").isin(kinds), F.col(measure)))
+        return F.coalesce(picked.cast("double"), F.lit(0.0))
 
-    sides = cube.select(
-        "season", "week", F.inline(F.array(perspective("posteam", off), perspective("defteam", dfn)))
-    )
+    parts = {**{c: (True, *p) for c, p in _OFFENCE_PARTS.items()}, **{c: (False, *p) for c, p in _DEFENCE_PARTS.items()}}
     return (
-        sides.where(F.col("team").isNotNull())
-        .groupBy(*KEY)
+        sides.groupBy(*KEY)
         .agg(
-            F.sum("spine_plays").alias("spine_plays"),
-            *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in COUNTS],
+            F.max(F.col("kind") != "other").alias("_live"),
+            *[total(*parts[c]).alias(c) for c in COUNTS],
         )
-        .where(F.col("spine_plays") > 0)
-        .drop("spine_plays")
+        .where("_live")
+        .drop("_live")
         .withColumns(
             {
                 "off_all_play_count": F.col("pass_att_v2") + F.col("rush_att_v2"),

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # wide feature plans have thousands of column calls; recording each call site is slow
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -68,12 +68,12 @@ def conform(df: DataFrame, target: T.StructType) -> DataFrame:
     out = []
     for field in df.schema.fields:
         c, kind = F.col(field.name), known.get(field.name)
-        if kind is None or kind == field.dataType:
+        if isinstance(kind, T.StringType):
+            c = _drop_null_text(c.cast("string"))
+        elif kind is None or kind == field.dataType:
             pass
         elif isinstance(kind, T.NumericType):
             c = try_number(c, kind)
-        elif isinstance(kind, T.StringType):
-            c = _drop_null_text(c.cast("string"))
         else:
             c = c.try_cast(kind)
         out.append(c.alias(field.name))
