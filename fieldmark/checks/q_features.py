@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.register import query
-from checks.sql_views import COUNT_COLUMNS, RATES, SIDE_AGGREGATES
+from fieldmark.checks.register import query
+from fieldmark.checks.sql_views import COUNT_COLUMNS, RATES, SIDE_AGGREGATES
 from fieldmark.operators import situational, team_week
 from fieldmark.schemas import ADDED_RATES, BASE_RATES
 

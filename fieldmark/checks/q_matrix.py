@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.register import query
-from checks.sql_views import Z_INPUTS
+from fieldmark.checks.register import query
+from fieldmark.checks.sql_views import Z_INPUTS
 from fieldmark.operators import folds, matrix, mismatch, situational, team_week
 from fieldmark.plans.experiment import experiment_matrix
 from fieldmark.session import materialise

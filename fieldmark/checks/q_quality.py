@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.register import query
+from fieldmark.checks.register import query
 from fieldmark.functions.expr import signed_spread_bucket
 from fieldmark.operators import curate, quality
 from fieldmark.schemas import PLAYS

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.register import query
-from checks.sql_views import NAMES, VIEWS
+from fieldmark.checks.register import query
+from fieldmark.checks.sql_views import NAMES, VIEWS
 from fieldmark.operators import catalog, profile, registry, serve
 from fieldmark.schemas import GAME_CONTEXT
 

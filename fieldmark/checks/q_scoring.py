@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.q_matrix import stored
-from checks.register import query
-from checks.sql_views import VIEWS
-from checks.views import RUN_WEIGHTS
+from fieldmark.checks.q_matrix import stored
+from fieldmark.checks.register import query
+from fieldmark.checks.sql_views import VIEWS
+from fieldmark.checks.views import RUN_WEIGHTS
 from fieldmark.functions.expr import abs_spread_bucket, correct_flag, predicted_side
 from fieldmark.operators import compare, folds, mismatch, models, permute, profile, scoring
 from fieldmark.plans import experiment

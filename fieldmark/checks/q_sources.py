@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.register import query
+from fieldmark.checks.register import query
 from fieldmark.operators.scoring import fold_metrics
 from fieldmark.schemas import PREDICTIONS, RUNS
 from fieldmark.session import scratch_path

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.sql_views import compose
-from checks.views import Views, views
+from fieldmark.checks.sql_views import compose
+from fieldmark.checks.views import Views, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +44,7 @@ def typed_sql(body: str, spec: str) -> str:
 
 
 def query(name: str, spec: str, sql: str | None = None):
-    """Register a function of the views; ``sql`` may use any view of ``checks.sql_views``."""
+    """Register a function of the views; ``sql`` may use any view of ``fieldmark.checks.sql_views``."""
 
     def wrap(fn: Callable[[Views], DataFrame]):
         if name in QUERIES:

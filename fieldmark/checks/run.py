@@ -1,4 +1,4 @@
-"""Run registered queries against their SQL in DuckDB: ``python -m checks.run [sf_dir] [name part ...]``."""
+"""Run registered queries against their SQL in DuckDB: ``python -m fieldmark.checks.run [sf_dir] [name part ...]``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import time
 
 import duckdb
 
-from checks import all_queries
+from fieldmark.checks import all_queries
 from fieldmark.session import build_session
 
 TABLES = (
