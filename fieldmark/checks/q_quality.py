@@ -8,6 +8,7 @@ from fieldmark.checks.register import query
 from fieldmark.functions.expr import signed_spread_bucket
 from fieldmark.operators import curate, quality
 from fieldmark.schemas import PLAYS
+from fieldmark.session import materialise
 from fieldmark.sources import coerce
 
 CHECK = "check scope value:f low:f high:f passed:b"
@@ -115,8 +116,10 @@ def _c1(v):
          AND game_id IN (SELECT game_id FROM v_games WHERE week <> 12)""",
 )
 def _c1_plays(v):
+    """Landed rows, as a refresh reads them, through to the declared schema."""
     games = curate.curate_games(coerce.harmonise(v.raw_games))
-    return curate.curate_plays(coerce.harmonise(v.raw_plays), games)
+    landed = materialise(v.raw_plays, "landed")
+    return curate.curate_plays(coerce.harmonise(landed), games)
 
 
 # --- checks -------------------------------------------------------------------------------

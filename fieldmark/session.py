@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # the JVM never compiles methods above 8000 bytes of bytecode; wide projections would run
+    # interpreted, so fall back to operator-wise evaluation for those stages
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # wide feature plans have thousands of column calls; recording each call site is slow
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
