@@ -26,7 +26,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     classes = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, type_class(f.dataType))])
     return long.select(
         "column_name",
-        F.get(F.array(classes), F.lit(0)).getItem(F.col("column_name")).alias("data_type"),
+        F.element_at(classes, F.col("column_name")).alias("data_type"),
         F.round(F.coalesce(F.try_divide(F.col("nulls").cast("double"), F.col("_n")), F.lit(0.0)), 6).alias("null_rate"),
     )
 

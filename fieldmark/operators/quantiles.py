@@ -2,7 +2,9 @@
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a
 histogram with a fixed number of buckets locates the bucket that holds each wanted order
-statistic, and only the values of those buckets are then ranked.
+statistic, and only the values of those buckets are then ranked. Bucket edges come from a
+mergeable quantile sketch, so buckets stay even whatever the distribution; the sketch only
+decides where values are ranked and never enters a result.
 """
 
 from __future__ import annotations
@@ -12,7 +14,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 256
+
+
+def _bucket_of(counts: DataFrame, buckets: int) -> DataFrame:
+    """Add ``_b``, the number of edges below the value, by binary search over the edges."""
+    out = counts.withColumn("_b", F.lit(0))
+    half = buckets // 2
+    while half:
+        above = F.col("_v") > F.get("_edges", F.col("_b") + (half - 1))
+        out = out.withColumn("_b", F.col("_b") + F.when(above, half).otherwise(0))
+        half //= 2
+    return out.drop("_edges")
 
 
 def quantiles(
@@ -25,7 +38,7 @@ def quantiles(
 ) -> DataFrame:
     """Quantiles per group, one column per entry of ``probs``, plus ``n_values``.
 
-    With ``order`` the result has one row per (group, order value) and covers all rows of the
+    ``buckets`` is a power of two. With ``order`` the result has one row per (group, order value) and covers all rows of the
     group up to and including that order value.
     """
     group = list(by or [])
@@ -38,12 +51,12 @@ def quantiles(
     every_step = df.select(*group, step).distinct()
     v = df.select(*group, step, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     counts = v.groupBy(*group, step, "_v").agg(F.count("*").alias("_n"))
-    bounds = counts.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(
-        width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("_lo")) / width * buckets))
-    ).otherwise(0)
-    counts = counts.join(bounds, group).select(*group, step, "_v", "_n", bucket.cast("int").alias("_b"))
+    # an edge per bucket boundary; ties were merged above, so a repeated value fills no bucket
+    cuts = [i / buckets for i in range(1, buckets)]
+    edges = counts.groupBy(*group).agg(F.percentile_approx("_v", cuts, 10 * buckets).alias("_edges"))
+    same_group = reduce(lambda a, b: a & b, [F.col(f"c.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group])
+    counts = counts.alias("c").join(edges.alias("e"), same_group).select("c.*", "e._edges")
+    counts = _bucket_of(counts, buckets)
 
     # histogram of everything up to each step: at most buckets rows per (group, step)
     hist = counts.groupBy(*group, step, "_b").agg(F.sum("_n").alias("_n"))

@@ -215,24 +215,3 @@ def experiment_detail(configs: DataFrame, runs: DataFrame, preds: DataFrame) ->
         .join(runs.select("experiment_id", "run_id", "run_at", "ats_hit_rate"), "experiment_id", "left")
         .join(seasons, "run_id", "left")
     )
-
-
-def experiment_document(configs: DataFrame, runs: DataFrame, preds: DataFrame, deprecated: DataFrame, experiment_id: str) -> DataFrame:
-    """Detail of one experiment as a single nested row, for a caller that wants the document."""
-    one = configs.where(F.col("experiment_id") == experiment_id)
-    mine = runs.where(F.col("experiment_id") == experiment_id)
-    history = mine.groupBy("experiment_id").agg(
-        F.sort_array(F.collect_list(F.struct("run_at", "run_id", "ats_hit_rate")), asc=False).alias("runs")
-    )
-    newest = latest_runs(mine).select("experiment_id", "run_id")
-    folds = (
-        run_season_records(preds.join(newest, ["experiment_id", "run_id"], "left_semi"))
-        .groupBy()
-        .agg(F.sort_array(F.collect_list(F.struct("season", "wins", "losses", "pushes", "hit_rate"))))
-    )
-    old = deprecated.where(F.col("experiment_id") == experiment_id).groupBy().agg(
-        F.sort_array(F.collect_set(F.struct("name", "deprecated_reason")))
-    )
-    return one.join(history, "experiment_id", "left").withColumns(
-        {"per_fold": folds.scalar(), "deprecated_features": old.scalar()}
-    )

@@ -11,7 +11,7 @@ from fieldmark.operators.quantiles import quantiles
 from fieldmark.operators.registry import current, key_role_errors
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 1024])
+@pytest.mark.parametrize("buckets", [2, 8, 256])
 def test_quantiles_match_numpy(spark, buckets):
     rng = random.Random(buckets)
     rows = [("a", rng.choice([0.5, 1.0, rng.gauss(0, 3)])) for _ in range(200)] + [("b", 2.0)] * 5 + [("c", None)]
