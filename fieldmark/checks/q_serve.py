@@ -196,3 +196,18 @@ def _c18(v):
     ).distinct()
     configs = own.unionByName(v.configs.select("experiment_id", "name", "status", "features"))
     return serve.experiment_detail(configs, v.prediction_runs, v.predictions)
+
+
+@query("s1_season_of_date", "july_season:i september_season:i n:i", """
+SELECT year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS july_season,
+  year(o_orderdate) - CASE WHEN month(o_orderdate) < 9 THEN 1 ELSE 0 END AS september_season, COUNT(*) AS n FROM orders GROUP BY 1, 2""")
+def _s1(v):
+    """Season a calendar date falls in, under both season starts in use."""
+    from fieldmark.functions.expr import season_of_date
+
+    day = F.col("o_orderdate")
+    return (
+        v.table("orders")
+        .groupBy(season_of_date(day, 7).alias("july_season"), season_of_date(day, 9).alias("september_season"))
+        .agg(F.count("*").alias("n"))
+    )

@@ -39,7 +39,7 @@ def _boosted(defaults: dict):
                 target, kind = HYPERPARAMETERS[name]
                 params[target] = kind(value)
         return GBTClassifier(
-            featuresCol="features", labelCol="label", seed=seed, cacheNodeIds=True, checkpointInterval=10, **params
+            featuresCol="features", labelCol="label", seed=seed, cacheNodeIds=False, checkpointInterval=20, **params
         )
 
     return make

@@ -225,7 +225,8 @@ def team_week_stats(plays: DataFrame) -> DataFrame:
     """All 28 counts on the team-week spine from one scan and without a join.
 
     First pass: plain sums per (offence, defence, season, week, kind). Second pass, on that
-    small table: each row is seen by both teams and spread over the 28 columns.
+    small table: each row is seen by both teams, summed per team and kind, then the few rows of
+    a team-week are spread over the 28 columns.
     """
     pair_weeks = (
         plays.withColumn("kind", play_kind())
@@ -237,7 +238,12 @@ def team_week_stats(plays: DataFrame) -> DataFrame:
         F.struct(F.col("posteam").alias("team"), F.lit(True).alias("has_ball")),
         F.struct(F.col("defteam").alias("team"), F.lit(False).alias("has_ball")),
     )
-    sides = pair_weeks.select("*", F.inline(both)).where(F.col("team").isNotNull())
+    sides = (
+        pair_weeks.select("*", F.inline(both))
+        .where(F.col("team").isNotNull())
+        .groupBy(*KEY, "has_ball", "kind")
+        .agg(*[F.sum(n).alias(n) for n in kind_measures()])
+    )
 
     def total(has_ball: bool, kinds: list[str], measure: str) -> Column:
         mine = F.col("has_ball") if has_ball else ~F.col("has_ball")
