@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from fieldmark.schemas import EPS, MIN_SAMPLE
 
 
+def number(c: Column) -> Column:
+    """Value as a double; bad text and not-a-number are both missing."""
+    value = c.try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def eps_rate(num: Column, den: Column) -> Column:
     """Ratio that is 0.0, not NULL, on an empty denominator."""
     return num / (den + F.lit(EPS))
@@ -52,16 +58,9 @@ def game_status(home_score: Column, away_score: Column) -> Column:
 
 
 def season_of_game_id(game_id: Column) -> Column:
-    """Season encoded before the first underscore, NULL unless within 2000..2100.
-
-    The bound is checked after parsing, so ids from other schemes give NULL.
-    """
-    return season_in_range(game_id, 2000, 2100)
-
-
-def season_in_range(game_id: Column, low: int, high: int) -> Column:
+    """Season encoded before the first underscore, NULL unless within 2000..2100."""
     year = F.split(game_id, "_").getItem(0).try_cast("int")
-    return F.when(year.between(low, high), year)
+    return F.when(year.between(2000, 2100), year)
 
 
 def team_code_ok(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.functions.expr import cover_label, flag, text_boolean
+from fieldmark.functions.expr import cover_label, flag, number, text_boolean
 from fieldmark.schemas import FLAGS_DEFAULT_FALSE, GAMES, PLAYS, RAW_GAME_NAMES
 from fieldmark.sources.coerce import project_to
 
@@ -25,8 +25,8 @@ def rename_raw_games(df: DataFrame) -> DataFrame:
 
 
 def with_cover_label(df: DataFrame) -> DataFrame:
-    number = {c: F.col(c).try_cast("double") for c in ("home_score", "away_score", "home_spread_close")}
-    return df.withColumn("home_covered", cover_label(*number.values()))
+    inputs = [number(F.col(c)) for c in ("home_score", "away_score", "home_spread_close")]
+    return df.withColumn("home_covered", cover_label(*inputs))
 
 
 def curate_games(raw: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.functions.expr import any_null
+from fieldmark.functions.expr import any_null, number
 from fieldmark.operators.situational import add_rest_differential, situational_features
 from fieldmark.operators.team_week import team_features
 from fieldmark.schemas import ADDED_RATES, BASE_RATES, SITUATIONAL, TEAM_FEATURES
@@ -98,7 +98,7 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
 
 
 def numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).try_cast("double") for c in cols})
+    return df.withColumns({c: number(F.col(c)) for c in cols})
 
 
 def join_user_games(matrix: DataFrame, user: DataFrame, cols: list[str], key: str = "game_id") -> DataFrame:

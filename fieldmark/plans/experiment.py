@@ -93,7 +93,7 @@ def walk_forward(
         positive_probability(models[f].transform(test.where(F.col("fold") == f))).drop("features")
         for f in present
     ]
-    predictions = score(reduce(DataFrame.unionByName, scored))
+    predictions = materialise(score(reduce(DataFrame.unionByName, scored)), "predictions")
     metrics = fold_metrics(predictions)
     importance = mean_importance(
         reduce(DataFrame.unionByName, [importance_rows(spark, models[f], cols, f) for f in present])

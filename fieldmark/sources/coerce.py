@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldmark.functions.expr import number
 from fieldmark.schemas import ID_ENDINGS, NULL_TEXT
 
 
@@ -52,14 +53,17 @@ def widen(df: DataFrame, keep: tuple[str, ...] = ("season",)) -> DataFrame:
 
 def to_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """Text to double, bad text to NULL."""
-    return df.withColumns({c: F.col(c).try_cast("double") for c in cols if c in df.columns})
+    return df.withColumns({c: number(F.col(c)) for c in cols if c in df.columns})
 
 
-def try_number(c: Column, kind: T.DataType) -> Column:
-    """Parse to a number of the kind; integers accept text with a fraction (``"3.0"``)."""
-    if isinstance(kind, T.IntegralType):
-        return c.try_cast("double").try_cast(kind)
-    return c.try_cast(kind)
+def try_number(c: Column, source: T.DataType, kind: T.NumericType) -> Column:
+    """Parse to a number of the kind. Whole numbers never pass through a double unless they
+    are written with a fraction (``"3.0"``), so large ids stay exact."""
+    if isinstance(kind, T.DecimalType) or isinstance(source, T.IntegralType):
+        return c.try_cast(kind)
+    if isinstance(kind, T.IntegralType) and isinstance(source, T.StringType):
+        return F.coalesce(c.try_cast(kind), number(c).try_cast(kind))
+    return number(c).try_cast(kind)
 
 
 def conform(df: DataFrame, target: T.StructType) -> DataFrame:
@@ -73,7 +77,7 @@ def conform(df: DataFrame, target: T.StructType) -> DataFrame:
         elif kind is None or kind == field.dataType:
             pass
         elif isinstance(kind, T.NumericType):
-            c = try_number(c, kind)
+            c = try_number(c, field.dataType, kind)
         else:
             c = c.try_cast(kind)
         out.append(c.alias(field.name))
@@ -82,11 +86,15 @@ def conform(df: DataFrame, target: T.StructType) -> DataFrame:
 
 def project_to(df: DataFrame, target: T.StructType) -> DataFrame:
     """Exactly the declared columns in order; missing ones are typed NULLs."""
-    have = set(df.columns)
+    have = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for field in target.fields:
-        c = F.col(field.name) if field.name in have else F.lit(None)
-        numeric = isinstance(field.dataType, T.NumericType) and field.name in have
-        c = try_number(c, field.dataType) if numeric else c.try_cast(field.dataType)
+        source = have.get(field.name)
+        if source is None:
+            c = F.lit(None).cast(field.dataType)
+        elif isinstance(field.dataType, T.NumericType):
+            c = try_number(F.col(field.name), source, field.dataType)
+        else:
+            c = F.col(field.name).try_cast(field.dataType)
         out.append(c.alias(field.name))
     return df.select(*out)

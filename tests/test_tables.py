@@ -45,6 +45,14 @@ def test_widen_and_conform(spark):
     assert [r["down"] for r in coerce.conform(df, target).orderBy("week").collect()] == [3, None]
 
 
+def test_large_ids_stay_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, str(big), "7.0", "x")], "a bigint, b string, c string, d string")
+    target = T.StructType([T.StructField(n, T.LongType()) for n in "abcd"])
+    assert tuple(coerce.conform(df, target).first()) == (big, big, 7, None)
+    assert tuple(coerce.project_to(df, target).first()) == (big, big, 7, None)
+
+
 def test_replacing_a_partition_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(2000, "a", 1), (2001, "b", 2)], "season int, k string, v int")
@@ -82,13 +90,14 @@ def test_cover_label_is_three_valued(spark):
             raw_game(4, "nan", "10", 7.0),
             raw_game(5, "20", "10", None),
             raw_game(6, "20", "10", 3.0, kind="POST"),
+            raw_game(7, "20", "10", float("nan")),
         ],
         RAW_GAME,
     )
-    games = curate_games(coerce.harmonise(raw))
+    games = curate_games(raw)
     assert [f.name for f in games.schema] == GAMES.names
     got = {r["week"]: r["home_covered"] for r in games.collect()}
-    assert got == {1: True, 2: False, 3: None, 4: None, 5: None}
+    assert got == {1: True, 2: False, 3: None, 4: None, 5: None, 7: None}
     assert quality.schema_contract(spark, games.schema, GAMES).count() == 0
 
 
