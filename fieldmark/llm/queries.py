@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import odd_sketch
+from fieldmark.llm import language_id, odd_sketch, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,21 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 def op4_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of ``documents`` on 3-word shingles at a similarity of 0.85."""
     return odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query()
+def op3_segmentation_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written, read back and summed up per document."""
+    return token_store.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat files without an index."""
+    return token_scan.count_documents(table(spark, sf_dir, "documents"))
