@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import language_id, odd_sketch, token_scan, token_store
+from fieldmark.llm import language_id, mixing, odd_sketch, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,49 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat files without an index."""
     return token_scan.count_documents(table(spark, sf_dir, "documents"))
+
+
+def _keys_sql(seed: str, size: str) -> str:
+    one = f"(({seed} + r * 1299709) % {mixing.PRIME})"
+    high = f"(({one} * {one} + 12345) % {mixing.PRIME})"
+    low = f"(({high} * {high} + 67891) % {mixing.PRIME})"
+    return f"list_transform(range(0, {mixing.ROUNDS}), lambda r: ({high} * 2147483648 + {low}) % greatest({size}, 1))"
+
+
+def _permuted_sql(x: str, keys: str, size: str) -> str:
+    mirror = f"((k + {size} - a) % {size})"
+    point = f"((greatest(a, {mirror}) % {mixing.PRIME} + k % {mixing.PRIME}) % {mixing.PRIME})"
+    bit = f"((({point} * {point} + 99991) % {mixing.PRIME} * 48271 % {mixing.PRIME}) // 65536) % 2"
+    return f"list_reduce({keys}, lambda a, k: CASE WHEN {bit} = 1 THEN {mirror} ELSE a END, {x})"
+
+
+MIX_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM d GROUP BY source),
+s1 AS (SELECT *, [3, 1, 2][(source_no % 3 + 1)::INT]::BIGINT AS w, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s0),
+s2 AS (SELECT *, coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS full_before,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS w_left FROM s1 WINDOW o AS (ORDER BY source_size / w, source_no)),
+s3 AS (SELECT *, 2 * source_size * w_left <= (total - full_before) * w AS filled FROM s2),
+s4 AS (SELECT *, sum(CASE WHEN filled THEN 2 * source_size ELSE 0 END) OVER ()::BIGINT AS full_size, sum(CASE WHEN filled THEN 0 ELSE w END) OVER ()::BIGINT AS w_open FROM s3),
+s5 AS (SELECT *, CASE WHEN filled THEN (2 * source_size)::DOUBLE ELSE w * ((total - full_size) / w_open) END AS target, (source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks FROM s4),
+s6 AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(2 * blocks, floor(target * blocks / source_size + 0.5)::BIGINT) END AS slots,
+    (n + {mixing.BUCKET_ROWS - 1}) // {mixing.BUCKET_ROWS} AS buckets FROM s5),
+k AS (SELECT *, {_keys_sql("(42 + source_no * 7919)", "blocks")} AS keys0, {_keys_sql("(42 + source_no * 7919 + 104729)", "blocks")} AS keys1 FROM s6),
+j AS (SELECT source_no, blocks, keys0, keys1, unnest(range(0, slots)) AS j FROM k),
+t AS (SELECT source_no, CASE WHEN j < blocks THEN {_permuted_sql("j", "keys0", "blocks")} ELSE {_permuted_sql("j - blocks", "keys1", "blocks")} END AS block FROM j),
+times AS (SELECT source_no, block, count(*) AS times FROM t GROUP BY ALL),
+p AS (SELECT d.doc_id, d.size, s6.source_no, s6.source_size, s6.target, row_number() OVER () AS rid,
+    coalesce(sum(d.size) OVER (PARTITION BY s6.source_no ORDER BY (coalesce(d.doc_id, 0) + d.size) % s6.buckets, d.doc_id NULLS FIRST, d.size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+b AS (SELECT rid, source_no, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block FROM p WHERE size > 0),
+g AS (SELECT rid, sum(times * (least(start + size, (b.block + 1) * {mixing.BLOCK}) - greatest(start, b.block * {mixing.BLOCK})))::BIGINT AS taken
+    FROM b JOIN times USING (source_no, block) GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN g USING (rid)
+"""
+
+
+@query(MIX_SQL)
+def op6_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents at source weights 3, 1, 2, repeating."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
