@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldmark.llm import language_id, mixing, odd_sketch, token_scan, token_store
+from fieldmark.llm import decontaminate, language_id, mixing, odd_sketch, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,9 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FR
 def op6_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at source weights 3, 1, 2, repeating."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item found in a document, with the overlaps that prove it."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
