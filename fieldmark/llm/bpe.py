@@ -1,13 +1,17 @@
 """Whole texts to token ids with a public tokenizer file, each distinct word encoded once per batch.
 
-The tokenizers used here drop white space and never join pieces across it, so a text's ids are
+The default tokenizer drops white space and never joins pieces across it, so a text's ids are
 its words' ids in order. Words are cut at ASCII white space only; whatever else the tokenizer
-treats as space stays inside a word and is left to it.
+treats as space stays inside a word and is left to it. A word of Latin letters, with or without
+plain marks after it, is lower-cased and given to the merges directly; its normal form is itself.
+Other tokenizer files get whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,34 +29,78 @@ def vocabulary_path(path: str | None = None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: how the default file normalises and splits; files that differ get whole texts
+STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
+BYTE_CHARS = {
+    b: chr(b) if 33 <= b < 127 or 161 <= b < 173 or b >= 174 else chr(256 + b - (0 if b < 33 else 94 if b < 161 else 139))
+    for b in range(256)
+}
+_encoders: dict[tuple, WordEncoder] = {}
+
+
+def encoder(path: str | None = None, literal: bool = False) -> WordEncoder:
+    """The worker process's encoder of a file; it keeps frequent words from task to task."""
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = WordEncoder(path, literal)
+    return _encoders[path, literal]
+
+
 class WordEncoder:
     """Encodes Arrow columns of texts. ``literal`` reads special tokens' names as ordinary text.
 
     ``remembered`` bounds the words kept from batch to batch; it limits memory, not results.
     """
 
-    def __init__(self, path: str | None = None, literal: bool = False, remembered: int = 200_000):
+    def __init__(self, path: str | None = None, literal: bool = False, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary_path(path))
         self.tokenizer.encode_special_tokens = literal
+        self.model = self.tokenizer.model
+        found = json.loads(self.tokenizer.to_str())
+        steps = [[x["type"] for x in ((found[k] or {}).get(k + "s") or (found[k] or {}).get(k.replace("_", "") + "s") or [])] for k in ("normalizer", "pre_tokenizer")]
+        self.by_word = (steps[0], steps[1]) == STEPS
         self.remembered, self.known = remembered, {}
 
+    def _core(self, word: str) -> bytes:
+        """Ids of lower-case Latin letters or of plain marks: one piece to the tokenizer."""
+        found = self.known.get(word)
+        if found is None:
+            text = word if word.isascii() else "".join(BYTE_CHARS[b] for b in word.encode())
+            found = self.known[word] = np.array([t.id for t in self.model.tokenize(text)], np.int32).tobytes()
+        return found
+
     def _ids(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
+        if len(self.known) > self.remembered:
             self.known = {}
-            new = words
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, np.int32).tobytes()
-        return [self.known[w] for w in words]
+        out: list[bytes | None] = []
+        rest = []
+        for word in words:
+            match = LATIN.fullmatch(word)
+            if match:
+                core, tail = match.groups()
+                out.append(self._core(core.lower()) + (self._core(tail) if tail else b""))
+            else:
+                rest.append(len(out))
+                out.append(None)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for k, found in zip(part, self.tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False)):
+                out[k] = np.array(found.ids, np.int32).tobytes()
+        return out
+
+    def _whole(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        ids = [x + [end] if end is not None else x for x in found]
+        return np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them); ``end`` is put after each text."""
         texts = column.cast(pa.large_string()).fill_null("")
+        if not self.by_word:
+            return self._whole(texts, end)
         words = pc.ascii_split_whitespace(texts)
         flat = words.flatten().dictionary_encode()
         codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.bpe import WordEncoder
+from fieldmark.llm.bpe import encoder
 from fieldmark.llm.common import documents, settings, slices, store
 from fieldmark.session import scratch_path
 
@@ -39,7 +39,7 @@ def write_flat(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary, literal=True)
+        words = encoder(vocabulary, literal=True)
         file, block, held, size, seen = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def row(kind, number, content, names):
@@ -54,8 +54,8 @@ def write_flat(
                 names=["kind", "file", "block", "content", "doc_ids"],
             )
 
-        for batch in slices(batches, "text"):
-            ids, _ = encoder.encode(batch.column("text"), separator)
+        for batch in slices(batches, "text", 8 << 20):
+            ids, _ = words.encode(batch.column("text"), separator)
             held.append(ids.astype("<u2"))
             size += len(ids)
             yield row("name", seen, None, batch.column("doc_id").to_pylist())

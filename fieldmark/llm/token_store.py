@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.bpe import WordEncoder
+from fieldmark.llm.bpe import encoder
 from fieldmark.llm.common import documents, settings, slices
 from fieldmark.session import scratch_path
 
@@ -45,10 +45,10 @@ def encoded(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None, lit
     """Rows of the files, in document order within and across partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary, literal)
+        words = encoder(vocabulary, literal)
         shard, seq, start = TaskContext.get().partitionId(), 0, 0
-        for batch in slices(batches, "text"):
-            ids, offs = encoder.encode(batch.column("text"), end_id)
+        for batch in slices(batches, "text", 8 << 20):
+            ids, offs = words.encode(batch.column("text"), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
