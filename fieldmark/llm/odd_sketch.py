@@ -8,11 +8,14 @@ with equal sets form one class at once, so copies are never compared with one an
    The parity of the values' hashed positions is folded into a bitmap, the odd sketch: the
    population count of the XOR of two bitmaps tells how many values differ, which is the
    more precise the more similar the two are.
-2. In each bucket every class is paired with the bucket's first class only. Pairs whose sketches
-   are too far apart go; the others are confirmed on the full sets and become links.
-3. Buckets that still hold several components compare the classes outside their largest
+2. Of the classes in buckets, those drop out whose set has too many shingles of its own, which
+   no other candidate has: they cannot reach the threshold with any.
+3. In each bucket every class is paired with the one that has the fewest of its own, the centre of
+   its group. Pairs whose sketches are too far apart go; the others are confirmed on the full sets
+   and become links.
+4. Buckets that still hold several components compare the classes outside their largest
    component with all others, again by sketch first. No pair of one component is made.
-4. Components grow by repeated minimum labels over the links, in joins and sums.
+5. Components grow by repeated minimum labels over the links, in joins and sums.
 
 A band is missed with probability (1 - t^rows)^bands: 5e-11 at t = 0.85, 5e-8 at t = 0.8. A
 sketch rejects a true link with about the same probability.
@@ -111,9 +114,8 @@ def most_bits(threshold: float, slack: float = 5.5) -> int:
 
 def _far(a: str, b: str):
     """Population count of the XOR of two sketches."""
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x
-    )
+    words = range(SKETCH_BITS // 64)
+    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words)
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -145,37 +147,48 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     return ends.union(ends.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def _confirmed(
-    pairs: DataFrame, classes: DataFrame, rows: DataFrame, n: int, percent: int
-) -> DataFrame:
-    """Those of ``pairs(u, v)`` whose full sets share ``percent`` percent of their union, stored."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("nid")).distinct()
-    wanted = store(needed.join(classes.select("nid", "rep", "digest"), "nid"), "wanted")
-    if wanted.isEmpty():
-        return pairs.select("u", "v").limit(0)
+def full_sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(nid, found) with the whole set of each class of ``nodes(nid)``, made anew from one text of it; stored."""
+    wanted = store(nodes.join(classes.select("nid", "rep", "digest"), "nid"), "wanted")
 
     def run(batches):
         hasher = RollingHash(WORD_HASH, fold_case=True)
         for batch in slices(batches, "text"):
-            nids, found_sets = [], []
+            nids, sets = [], []
             for nid, digest, found in zip(batch["nid"], batch["digest"], _sets(batch, "text", n, hasher)):
                 if _digest(found) == digest.as_py():  # a repeated id may have other texts
                     nids.append(nid.as_py())
-                    found_sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(found_sets, pa.binary())], names=["nid", "found"])
+                    sets.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["nid", "found"]
+            )
 
-    sets = (
-        rows.join(wanted.withColumnRenamed("rep", "id"), "id")
-        .select("nid", "digest", "text")
-        .mapInArrow(run, "nid long, found binary")
-    )
-    sets = store(sets, "sets").dropDuplicates(["nid"])
+    joined = rows.join(wanted.withColumnRenamed("rep", "id"), "id").select("nid", "digest", "text")
+    return store(joined.mapInArrow(run, "nid long, found array<long>").dropDuplicates(["nid"]), "sets")
+
+
+def linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """Classes whose set is not too much their own: shingles that no other of ``sets`` has cannot be shared.
+
+    A similarity is at most the share of a set that others have too, so what falls below has no link.
+    ``own`` is the share in thousandths; a set with few of its own is central in its group.
+    """
+    each = sets.select("nid", F.explode("found").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("nid").alias("nid")).filter("k = 1")
+    own = own.groupBy("nid").agg(F.count("*").alias("own"))
+    sizes = sets.select("nid", F.size("found").cast("long").alias("n"))
+    shares = sizes.join(own, "nid", "left").filter(f"100 * (n - coalesce(own, 0)) >= {percent} * n")
+    return shares.select("nid", F.expr("1000 * coalesce(own, 0) div n").alias("own"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose full sets share ``percent`` percent of their union; stored."""
 
     def compare(batches):
         for batch in batches:
             us, vs = [], []
             for u, v, a, b in zip(batch["u"], batch["v"], batch["found_u"], batch["found_v"]):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                a, b = (x.values.to_numpy().view(np.uint64) for x in (a, b))
                 if len(a) > len(b):
                     a, b = b, a
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -202,30 +215,42 @@ def near_duplicates(
         .select(F.monotonically_increasing_id().alias("nid"), F.col("first.id").alias("rep"), "digest", "first.bands", "first.sketch")
     )
     classes = store(classes, "classes")
-    keys = classes.select("nid", F.posexplode("bands").alias("b", "band")).select("nid", F.xxhash64("b", "band").alias("bucket"))
-    heads = keys.groupBy("bucket").agg(F.min("nid").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = store(keys.join(heads, "bucket"), "buckets")
-
     sketches = classes.select("nid", "sketch")
     allowed = most_bits(percent / 100)
 
     def near(pairs: DataFrame) -> DataFrame:
         with_both = pairs.join(sketches.toDF("u", "su"), "u").join(sketches.toDF("v", "sv"), "v")
-        return with_both.filter(_far("su", "sv") <= allowed).select("u", "v")
-
-    pairs = members.filter("nid <> head").select(F.col("nid").alias("u"), F.col("head").alias("v")).distinct()
-    pairs = store(near(pairs), "pairs")
-    nearest = pairs.groupBy("u").agg(F.min("v").alias("v"))
-    links = _confirmed(nearest, classes, rows, words, percent)
+        return with_both.filter(_far("su", "sv") <= allowed).select("u", "v", "own")
+
+    def headed(keys: DataFrame) -> DataFrame:
+        heads = keys.groupBy("bucket").agg(F.min(F.struct("own", "nid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        return keys.join(heads.select("bucket", "n", F.col("first.nid").alias("head"), F.col("first.own").alias("head_own")), "bucket")
+
+    def to_head(members: DataFrame) -> DataFrame:
+        pairs = members.filter("nid <> head").groupBy(F.col("nid").alias("u"), F.col("head").alias("v")).agg(F.min("head_own").alias("own"))
+        return near(pairs)
+
+    keys = classes.select("nid", F.posexplode("bands").alias("b", "band"))
+    keys = keys.select("nid", F.xxhash64("b", "band").alias("bucket"), F.lit(0).cast("long").alias("own"))
+    members = store(headed(keys), "buckets")
+    twos = to_head(members.filter("n = 2")).select(F.explode(F.array("u", "v")).alias("nid"))
+    nodes = twos.union(members.filter("n > 2").select("nid")).distinct()
+    sets = full_sets(nodes, classes, rows, words)
+    able = store(linkable(sets, percent), "linkable")
+    members = store(headed(members.select("nid", "bucket").join(able, "nid")), "buckets")
+
+    pairs = store(to_head(members), "pairs")
+    nearest = pairs.groupBy("u").agg(F.min(F.struct("own", "v")).alias("head")).select("u", "head.v")
+    links = confirmed(nearest, sets, percent)
     labels = store(components(links), "labels")
 
     def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
         own = labels.select(F.col("node").alias(node), F.col("component").alias(label))
         return df.join(own, node, "left").withColumn(label, F.coalesce(label, node))
 
-    open_pairs = labelled(labelled(pairs.join(nearest, ["u", "v"], "left_anti"), "u", "cu"), "v", "cv").filter("cu <> cv")
-    more = _confirmed(store(open_pairs.select("u", "v"), "open"), classes, rows, words, percent)
-    links = links.union(more)
+    others = pairs.join(nearest, ["u", "v"], "left_anti")
+    others = labelled(labelled(others, "u", "cu"), "v", "cv").filter("cu <> cv").select("u", "v")
+    links = links.union(confirmed(others, sets, percent))
     labels = store(components(links), "labels")
 
     # buckets of three or more that still hold several components: all but the largest against the rest
@@ -243,13 +268,14 @@ def near_duplicates(
         & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
         & (_far("su", "sv") <= allowed)
     )
-    last = _confirmed(store(across.select("u", "v").distinct(), "across"), classes, rows, words, percent)
+    last = confirmed(across.select("u", "v").distinct(), sets, percent)
     labels = store(components(links.union(last)), "labels")
 
     named = labelled(classes.select("nid", "rep", "digest"), "nid", "c")
-    lowest = labels.join(classes.select(F.col("nid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("lowest"))
-    named = named.join(lowest.withColumnRenamed("component", "c"), "c", "left").select("digest", F.coalesce("lowest", "rep").alias("component_id"))
-    named = store(named, "named")
+    lowest = labels.join(classes.select(F.col("nid").alias("node"), "rep"), "node")
+    lowest = lowest.groupBy("component").agg(F.min("rep").alias("lowest"))
+    named = named.join(lowest.withColumnRenamed("component", "c"), "c", "left")
+    named = store(named.select("digest", F.coalesce("lowest", "rep").alias("component_id")), "named")
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return (
         signed.select("id", "n", "digest")
