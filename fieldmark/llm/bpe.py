@@ -33,7 +33,7 @@ def vocabulary_path(path: str | None = None) -> str:
 STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|]*)")
 BYTE_CHARS = {
-    b: chr(b) if 33 <= b < 127 or 161 <= b < 173 or b >= 174 else chr(256 + b - (0 if b < 33 else 94 if b < 161 else 139))
+    b: chr(b) if 33 <= b < 127 or 161 <= b < 173 or b >= 174 else chr(256 + b - (0 if b < 33 else 94 if b < 161 else 106))
     for b in range(256)
 }
 _encoders: dict[tuple, WordEncoder] = {}
