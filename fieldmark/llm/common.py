@@ -39,6 +39,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
         df.sparkSession,
         spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
         spark__sql__execution__arrow__maxBytesPerBatch=str(8 << 20),
+        spark__sql__parquet__compression__codec="zstd",
     ):
         return materialise(df, f"llm-{name}")
 

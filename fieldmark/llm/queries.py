@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldmark.llm import decontaminate, language_id, mixing, odd_sketch, token_scan, token_store
+from fieldmark.llm import decontaminate, language_id, mixing, odd_sketch, suffix_dedup, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, encode(coalesce(text, '')) AS raw FROM documents),
+h AS (SELECT rid, doc_id, text, raw, octet_length(raw) AS n, lower(hex(raw)) AS x FROM d),
+w AS (SELECT rid, unnest(range(0, n - 399)) AS p, x FROM h WHERE n >= 400),
+k AS (SELECT rid, p, md5_number(substr(x, 2 * p + 1, 800)) AS g FROM w),
+t AS (SELECT rid, p FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM k) WHERE c > 1),
+s AS (SELECT rid, p, CASE WHEN p > lag(p) OVER (PARTITION BY rid ORDER BY p) + 400 OR lag(p) OVER (PARTITION BY rid ORDER BY p) IS NULL THEN 1 ELSE 0 END AS new FROM t),
+r AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM s),
+c AS (SELECT rid, run, min(p) AS a, max(p) + 400 AS b FROM r GROUP BY ALL),
+o AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM c GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN starts IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda i:
+        substr(x, CASE WHEN i = 0 THEN 1 ELSE 2 * ends[i] + 1 END, 2 * (CASE WHEN i = len(starts) THEN n ELSE starts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE ends[i] END))), '') END)) AS kept_sha256
+FROM h LEFT JOIN o USING (rid)
+"""
+)
+def op1_suffix_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` that repeat as part of a string of 400 bytes."""
+    found = suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents"), 400)
+    spans = F.size("span_starts").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", spans, "kept_sha256")
+
+
 WORDS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
