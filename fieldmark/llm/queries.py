@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import decontaminate, language_id, mixing, odd_sketch, suffix_dedup, token_scan, token_store
+from fieldmark.llm import decontaminate, language_id, mixing, odd_sketch, secret_scan, suffix_dedup, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,9 @@ def op6_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item found in a document, with the overlaps that prove it."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the known shapes and what the randomness tests add."""
+    return secret_scan.report(table(spark, sf_dir, "documents"))
