@@ -14,7 +14,8 @@ with equal sets form one class at once, so copies are never compared with one an
    its group. Pairs whose sketches are too far apart go; the others are confirmed on the full sets
    and become links.
 4. Buckets that still hold several components compare the classes outside their largest
-   component with all others, again by sketch first. No pair of one component is made.
+   component with all others, again by sketch first and by what their own shingles leave possible.
+   No pair of one component is made.
 5. Components grow by repeated minimum labels over the links, in joins and sums.
 
 A band is missed with probability (1 - t^rows)^bands: 5e-11 at t = 0.85, 5e-8 at t = 0.8. A
@@ -171,14 +172,22 @@ def linkable(sets: DataFrame, percent: int) -> DataFrame:
     """Classes whose set is not too much their own: shingles that no other of ``sets`` has cannot be shared.
 
     A similarity is at most the share of a set that others have too, so what falls below has no link.
-    ``own`` is the share in thousandths; a set with few of its own is central in its group.
+    ``own`` is the share in thousandths; a set with few of its own is central in its group. ``size``
+    counts the set and ``common`` those of its shingles that some other of ``sets`` has.
     """
     each = sets.select("nid", F.explode("found").alias("shingle"))
     own = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("nid").alias("nid")).filter("k = 1")
     own = own.groupBy("nid").agg(F.count("*").alias("own"))
     sizes = sets.select("nid", F.size("found").cast("long").alias("n"))
     shares = sizes.join(own, "nid", "left").filter(f"100 * (n - coalesce(own, 0)) >= {percent} * n")
-    return shares.select("nid", F.expr("1000 * coalesce(own, 0) div n").alias("own"))
+    own = F.coalesce("own", F.lit(0))
+    return shares.select("nid", F.expr("1000 * coalesce(own, 0) div n").alias("own"), F.col("n").alias("size"), (F.col("n") - own).alias("common"))
+
+
+def reachable(u: str, v: str, percent: int):
+    """Whether two sets could be similar enough: they share at most what the one with fewer has in common with any."""
+    both = F.least(f"common_{u}", f"common_{v}")
+    return 100 * both >= percent * (F.col(f"size_{u}") + F.col(f"size_{v}") - both)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,12 +224,16 @@ def near_duplicates(
         .select(F.monotonically_increasing_id().alias("nid"), F.col("first.id").alias("rep"), "digest", "first.bands", "first.sketch")
     )
     classes = store(classes, "classes")
-    sketches = classes.select("nid", "sketch")
     allowed = most_bits(percent / 100)
+    known = classes.select("nid", "sketch", F.size("sketch").alias("size"), F.size("sketch").alias("common"))
+
+    def sides(u: str, v: str):
+        return known.toDF(u, f"s{u}", f"size_{u}", f"common_{u}"), known.toDF(v, f"s{v}", f"size_{v}", f"common_{v}")
 
     def near(pairs: DataFrame) -> DataFrame:
-        with_both = pairs.join(sketches.toDF("u", "su"), "u").join(sketches.toDF("v", "sv"), "v")
-        return with_both.filter(_far("su", "sv") <= allowed).select("u", "v", "own")
+        left, right = sides("u", "v")
+        with_both = pairs.join(left, "u").join(right, "v")
+        return with_both.filter(reachable("u", "v", percent) & (_far("su", "sv") <= allowed)).select("u", "v", "own")
 
     def headed(keys: DataFrame) -> DataFrame:
         heads = keys.groupBy("bucket").agg(F.min(F.struct("own", "nid")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -237,7 +250,8 @@ def near_duplicates(
     nodes = twos.union(members.filter("n > 2").select("nid")).distinct()
     sets = full_sets(nodes, classes, rows, words)
     able = store(linkable(sets, percent), "linkable")
-    members = store(headed(members.select("nid", "bucket").join(able, "nid")), "buckets")
+    members = store(headed(members.select("nid", "bucket").join(able.select("nid", "own"), "nid")), "buckets")
+    known = store(classes.select("nid", "sketch").join(able.select("nid", "size", "common"), "nid"), "sketches")
 
     pairs = store(to_head(members), "pairs")
     nearest = pairs.groupBy("u").agg(F.min(F.struct("own", "v")).alias("head")).select("u", "head.v")
@@ -258,14 +272,16 @@ def near_duplicates(
     parts = spread.groupBy("bucket", "c").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", F.col("c").alias("main"))).alias("top"), F.count("*").alias("k"))
     main = main.filter("k > 1").select("bucket", "top.main")
-    torn = store(spread.join(main, "bucket").select("bucket", "nid", "head", "c", "main").join(sketches, "nid"), "torn")
-    left = torn.filter("c <> main").select("bucket", F.col("nid").alias("u"), F.col("c").alias("cu"), F.col("sketch").alias("su"), "head")
-    right = torn.select("bucket", F.col("nid").alias("v"), F.col("c").alias("cv"), F.col("sketch").alias("sv"), "main")
+    torn = store(spread.join(main, "bucket").select("bucket", "nid", "head", "c", "main").join(known, "nid"), "torn")
+    own = ["sketch", "size", "common"]
+    left = torn.filter("c <> main").select("bucket", "head", *[F.col(x).alias(y) for x, y in zip(["nid", "c", *own], ["u", "cu", "su", "size_u", "common_u"])])
+    right = torn.select("bucket", "main", *[F.col(x).alias(y) for x, y in zip(["nid", "c", *own], ["v", "cv", "sv", "size_v", "common_v"])])
     across = left.join(right, "bucket").filter(
         (F.col("cu") != F.col("cv"))
         & (F.col("u") != F.col("head"))
         & (F.col("v") != F.col("head"))
         & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
+        & reachable("u", "v", percent)
         & (_far("su", "sv") <= allowed)
     )
     last = confirmed(across.select("u", "v").distinct(), sets, percent)
