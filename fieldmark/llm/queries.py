@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import decontaminate, language_id, mixing, odd_sketch, secret_scan, suffix_dedup, token_scan, token_store
+from fieldmark.llm import curve_ann, decontaminate, language_id, mixing, odd_sketch, quality, secret_scan, suffix_dedup, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,15 @@ def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: the known shapes and what the randomness tests add."""
     return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of two thirds of them."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector, among all."""
+    return curve_ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
