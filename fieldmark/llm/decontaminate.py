@@ -38,6 +38,8 @@ from fieldmark.llm.common import RollingHash, documents, shingles, slices, store
 
 WORD_HASH, SHINGLE, LEAST_WORDS, BLOCK_ITEMS = 7003, 5, 5, 2
 SHARD_BYTES = 8 << 20
+#: of the threshold, what a block's weak words may reach together; less makes bounds tighter and postings longer
+WEAK_SHARE = 0.6
 K1, B = 1.2, 0.75
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -105,7 +107,7 @@ def build_index(items: list[tuple[int, str]], n_items: int, mean_words: float, f
         total = 0.0
         # common words first: the words that rule out most passages are those that few items have
         for t, w in sorted(largest.items(), key=lambda x: idf[int(terms[x[0]])]):
-            if total + w < retrieve * 0.999:
+            if total + w < retrieve * WEAK_SHARE:
                 total += w
             else:
                 postings.append((t, block, w))
