@@ -290,15 +290,32 @@ def _d45(v):
     return quality.null_rate_check(v.games, "temp")
 
 
-@query("d46_schema_contract", "column expected actual problem season:i n:i", """
+# Where the landed plays differ from the contract.
+_D46 = {
+    "down": ("int", "string"),
+    "yards_gained": ("int", "string"),
+    "qb_hit": ("boolean", "double"),
+    "sack": ("boolean", "double"),
+    "rusher_player_id": ("string", "double"),
+}
+_D46_MISSING = {
+    "int": "ydstogo yardline_100 score_differential",
+    "double": "wpa air_yards yards_after_catch",
+    "boolean": "touchdown interception fumble fumble_lost penalty",
+    "string": "game_half passer_player_id rusher_player_name receiver_player_id receiver_player_name penalty_type penalty_team",
+}
+_D46_ROWS = [f"('{c}', '{e}', '{a}', 'type')" for c, (e, a) in _D46.items()] + [
+    f"('{c}', '{e}', NULL, 'missing')" for e, names in _D46_MISSING.items() for c in names.split()
+]
+
+
+@query("d46_schema_contract", "column expected actual problem season:i n:i", f"""
 SELECT c AS "column", e AS expected, a AS actual, p AS problem, s.season, s.n
-FROM (VALUES ('yards_gained', 'int', 'string', 'type'), ('qb_hit', 'boolean', 'double', 'type')) AS t(c, e, a, p)
+FROM (VALUES {", ".join(_D46_ROWS)}) AS t(c, e, a, p)
 CROSS JOIN (SELECT season, COUNT(*) AS n FROM v_raw_plays GROUP BY 1) s""")
 def _d46(v):
-    """Type mismatches of the raw plays, with the rows per season they affect."""
-    wrong = quality.schema_contract(v.spark, v.raw_plays.schema, PLAYS).where(
-        F.col("column").isin("yards_gained", "qb_hit")
-    )
+    """Every column of the raw plays that differs from the contract, with the rows per season it affects."""
+    wrong = quality.schema_contract(v.spark, v.raw_plays.schema, PLAYS)
     per_season = v.raw_plays.groupBy("season").agg(F.count("*").alias("n"))
     names = [tuple(r) for r in wrong.collect()]
     listed = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(r, wrong.columns)]) for r in names])

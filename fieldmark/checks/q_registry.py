@@ -89,7 +89,8 @@ SELECT experiment_id, ROW_NUMBER() OVER (PARTITION BY experiment_id ORDER BY blo
   FROM (SELECT experiment_id, regexp_replace("column", '^(home|away)_', '') AS base, MIN(pos) AS pos FROM v_refs WHERE dataset = 'curated' GROUP BY 1, 2) w
   CROSS JOIN (VALUES (0, 'home'), (1, 'away')) AS s(block, side) WHERE w.base IN (SELECT unnest({NAMES}))
   UNION ALL SELECT c.experiment_id, 2, t.i, t.n FROM v_cfg c CROSS JOIN (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate([*GAME_CONTEXT, "rest_differential"]))}) AS t(i, n)
-) u""")
+) u WHERE experiment_id NOT IN (SELECT experiment_id FROM v_refs WHERE dataset = 'curated'
+  AND regexp_replace("column", '^(home|away)_', '') NOT IN (SELECT unnest({NAMES})) AND "column" NOT IN ({", ".join(f"'{c}'" for c in catalog.CONTEXT_ENTRIES)}))""")
 def _k5(v):
     return catalog.resolve_all(v.configs)
 
@@ -254,7 +255,7 @@ def _r9(v):
 
 @query("r10_snapshots", "framework_id name base_experiment_id snapshot_id snapshot_name snapshot_status snapshot_target", """
 SELECT concat('fw_', experiment_id) AS framework_id, name, experiment_id AS base_experiment_id, concat('fw_', experiment_id) AS snapshot_id,
-  concat('Framework config ', substr(concat('fw_', experiment_id), 1, 8)) AS snapshot_name, 'draft' AS snapshot_status, target AS snapshot_target FROM v_cfg""")
+  concat('Framework config fw_', experiment_id) AS snapshot_name, 'draft' AS snapshot_status, target AS snapshot_target FROM v_cfg""")
 def _r10(v):
     out = registry.snapshot(v.configs)
     names = {"snapshot_id": "experiment_id", "snapshot_name": "name", "snapshot_status": "status", "snapshot_target": "target"}

@@ -80,7 +80,7 @@ def _b14(v):
 
 @query("b30_point_lookups", "game_id season:i home_team", """
 SELECT g.game_id, g.season, g.home_team FROM v_games g
-WHERE g.season BETWEEN 2000 AND 2100 AND g.game_id IN (SELECT game_id FROM v_plays WHERE sack = 1)""")
+WHERE g.game_id IN (SELECT game_id FROM v_plays WHERE sack = 1)""")
 def _b30(v):
     return serve.lookup(v.games, v.plays.where("sack = 1").select("game_id"))
 

@@ -62,7 +62,7 @@ def _a4(v):
 def _a5(v):
     path = scratch_path(v.spark, "csv")
     sinks.write_csv(v.games.select("game_id", "season", "home_spread_close", "home_covered", "roof"), path)
-    return readers.read_csv(v.spark, path)
+    return readers.typed_text(readers.read_csv(v.spark, path))
 
 
 @query("a6_json_source", "event_id:i user_id:i event_type value:f", "SELECT event_id, user_id, event_type, value FROM events")
@@ -73,9 +73,7 @@ def _a6(v):
     chunk = F.floor(F.col("event_id") / 1000).alias("chunk")
     lines = rows.groupBy(chunk).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("line"))
     lines.select("line").write.text(path)
-    return readers.read_json_records(
-        v.spark, path, "event_id bigint, user_id bigint, event_type string, value double", whole_file=False
-    )
+    return readers.read_json_records(v.spark, path, "event_id bigint, user_id bigint, event_type string, value double")
 
 
 @query("a7_harmonised", "game_id home_score away_score old_player_id", """
@@ -182,21 +180,21 @@ def _a14(v):
     return v.spark.read.parquet(path)
 
 
-@query("a15_failed_run_record", "season:i n:i message_length:i status", """
-SELECT season, COUNT(*) AS n, 4096 AS message_length, 'failed' AS status FROM v_games GROUP BY 1""")
+@query("a15_failed_run_record", "run_id experiment_id status gate_passed:b message_length:i games:i", """
+SELECT run_id, experiment_id, 'failed' AS status, FALSE AS gate_passed, 5000 + length(run_id) AS message_length, CAST(NULL AS BIGINT) AS games
+FROM v_runs WHERE status = 'failed'""")
 def _a15(v):
-    """A failed-run record beside the seasons it would have covered."""
-    from datetime import datetime
-
-    run = {"run_id": "r", "experiment_id": "e", "name": "n", "run_at": datetime(2002, 1, 1), "model_type": "m"}
+    """Records of the failed runs, written with a long message and read back whole."""
     path = scratch_path(v.spark, "runs")
-    sinks.append(sinks.error_record(v.spark, run, "x" * 5000), path)
-    one = v.spark.read.schema(RUNS).parquet(path).select(F.struct(F.length("error_message").alias("l"), "status")).scalar()
-    return (
-        v.games.groupBy("season")
-        .agg(F.count("*").alias("n"))
-        .withColumn("_r", one)
-        .select("season", "n", F.col("_r.l").alias("message_length"), F.col("_r.status").alias("status"))
+    keys = ["run_id", "experiment_id", "name", "run_at", "model_type"]
+    named = v.runs.where("status = 'failed'")
+    have = [c for c in keys if c in named.columns]
+    rest = {"name": F.col("experiment_id"), "model_type": F.lit("xgboost")}
+    named = named.select(*have, *[rest[c].alias(c) for c in keys if c not in have])
+    sinks.append(sinks.failed_records(named, F.concat(F.repeat(F.lit("x"), 5000), "run_id")), path)
+    stored = readers.read_table(v.spark, path, schema=RUNS)
+    return stored.select(
+        "run_id", "experiment_id", "status", "gate_passed", F.length("error_message").alias("message_length"), F.col("n_games_evaluated").alias("games")
     )
 
 
@@ -209,7 +207,7 @@ def _a16(v):
     new = v.games.where("season >= 1998").select("game_id", "season", F.col("hk").alias("crowd"))
     sinks.append(old, path, "season")
     sinks.append(new, path, "season")
-    stored = readers.read_table(v.spark, path)
+    stored = readers.read_table(v.spark, path, merge=True)
     return sinks.evolve(stored.where("season < 1998").drop("crowd"), stored.where("season >= 1998").drop("roof"))
 
 
@@ -230,7 +228,7 @@ def _a18(v):
     metrics = fold_metrics(v.predictions, ["season"])
     sinks.write_csv(metrics, csv)
     sinks.write_json(metrics.select("season", "model_log_loss"), js)
-    return readers.read_csv(v.spark, csv).drop("model_log_loss").join(v.spark.read.json(js), "season")
+    return readers.typed_text(readers.read_csv(v.spark, csv)).drop("model_log_loss").join(v.spark.read.json(js), "season")
 
 
 @query("a19_sample_rows", "game_id season:i", "SELECT game_id, season FROM v_games ORDER BY game_id LIMIT 20")

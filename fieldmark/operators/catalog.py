@@ -160,16 +160,29 @@ def resolve_columns(features: list[dict]) -> tuple[list[str], list[str]]:
         name = ref["column"].removeprefix("home_").removeprefix("away_")
         if name not in requested:
             requested.append(name)
-    unknown = [c for c in requested if c not in TEAM_FEATURES]
+    unknown = [c for c in requested if c not in TEAM_FEATURES and c not in CONTEXT_ENTRIES]
     if unknown:
         raise ValueError(f"features not in the catalogue: {unknown}")
+    requested = [c for c in requested if c in TEAM_FEATURES]  # context is always included
     model = [f"{s}_{c}" for s in ("home", "away") for c in requested] + GAME_CONTEXT + [REST_DIFFERENTIAL]
     return requested, model
 
 
+def rejected_references(configs: DataFrame) -> DataFrame:
+    """Curated references of every config that the catalogue does not have."""
+    refs = feature_refs(configs).where(F.col("dataset") == CURATED)
+    known = [*TEAM_FEATURES, *CONTEXT_ENTRIES]
+    return refs.where(~base_name(F.col("column")).isin(known)).select("experiment_id", "column")
+
+
 def resolve_all(configs: DataFrame) -> DataFrame:
-    """Model columns of every config with their position, unknown features dropped."""
+    """Model columns of every config with their position.
+
+    A config that names a feature outside the catalogue is refused whole, as ``resolve_columns``
+    refuses it; ``rejected_references`` lists why.
+    """
     refs = feature_refs(configs).where(F.col("dataset") == CURATED)
+    refs = refs.join(rejected_references(configs).select("experiment_id").distinct(), "experiment_id", "left_anti")
     wanted = (
         refs.select("experiment_id", base_name(F.col("column")).alias("base"), "pos")
         .where(F.col("base").isin(TEAM_FEATURES))

@@ -67,9 +67,11 @@ def median_temperature(df: DataFrame, as_of: int | None = None) -> DataFrame:
 def game_matrix(
     games: DataFrame, features: DataFrame, cols: list[str] | None = None, as_of: int | None = None
 ) -> DataFrame:
-    """Features of both teams plus context; unknown requested columns are skipped."""
-    wanted = TEAM_FEATURES if cols is None else cols
-    available = [c for c in wanted if c in features.columns]
+    """Features of both teams plus context; a requested column that does not exist is an error."""
+    missing = [c for c in cols or [] if c not in features.columns]
+    if missing:
+        raise ValueError(f"features without these columns: {missing}")
+    available = [c for c in TEAM_FEATURES if c in features.columns] if cols is None else cols
     out = attach_sides(add_context(games, as_of), features, available)
     return add_rest_differential(out) if "rest_days" in available else out
 
@@ -91,10 +93,20 @@ def join_gaps(matrix: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: list[str]) -> None:
-    """A repeated key would multiply games, so it is refused with examples."""
-    bad = df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1).limit(5).collect()
-    if bad:
-        raise ValueError(f"keys {keys} repeat: " + ", ".join(str(tuple(r[k] for k in keys)) for r in bad))
+    """A repeated key would multiply games, so it is refused: how many repeat, and five examples.
+
+    ``repeated_keys`` has them all.
+    """
+    bad = repeated_keys(df, keys)
+    total, rows = bad.agg(F.count("*"), F.sum("copies")).first()
+    if total:
+        some = ", ".join(str(tuple(r[k] for k in keys)) for r in bad.limit(5).collect())
+        raise ValueError(f"keys {keys} repeat: {total} keys on {rows} rows, such as {some}")
+
+
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Every key that occurs more than once, with its count."""
+    return df.groupBy(*keys).agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
 
 
 def numeric(df: DataFrame, cols: list[str]) -> DataFrame:

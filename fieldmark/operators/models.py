@@ -34,10 +34,12 @@ HYPERPARAMETERS = {
 def _boosted(defaults: dict):
     def make(seed: int = DEFAULT_SEED, hyperparams: dict | None = None) -> GBTClassifier:
         params = dict(defaults)
+        unknown = sorted(set(hyperparams or {}) - set(HYPERPARAMETERS))
+        if unknown:
+            raise ValueError(f"hyperparameters that the boosted trees do not have: {unknown}; known: {sorted(HYPERPARAMETERS)}")
         for name, value in (hyperparams or {}).items():
-            if name in HYPERPARAMETERS:
-                target, kind = HYPERPARAMETERS[name]
-                params[target] = kind(value)
+            target, kind = HYPERPARAMETERS[name]
+            params[target] = kind(value)
         return GBTClassifier(
             featuresCol="features", labelCol="label", seed=seed, cacheNodeIds=False, checkpointInterval=20, **params
         )

@@ -321,7 +321,13 @@ def load_guards(
 
 
 def require(checks: DataFrame) -> None:
-    """Raise with the failed rows; a check table has a handful of rows per season."""
-    failed = checks.where(~F.col("passed")).limit(20).collect()
-    if failed:
-        raise ValueError("checks failed: " + "; ".join(f"{r['check']}[{r['scope']}]={r['value']}" for r in failed))
+    """Raise with the number of failed checks and the first of them; ``failed`` has them all."""
+    bad = failed(checks)
+    total = bad.count()
+    if total:
+        some = "; ".join(f"{r['check']}[{r['scope']}]={r['value']}" for r in bad.limit(20).collect())
+        raise ValueError(f"{total} checks failed: {some}")
+
+
+def failed(checks: DataFrame) -> DataFrame:
+    return checks.where(~F.col("passed"))

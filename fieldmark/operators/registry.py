@@ -203,7 +203,7 @@ def snapshot(configs: DataFrame, id_prefix: str = "fw_") -> DataFrame:
     have = [c for c in SNAPSHOT_FIELDS if c in configs.columns]
     body = F.struct(
         new_id.alias("experiment_id"),
-        F.concat(F.lit("Framework config "), F.substring(new_id, 1, 8)).alias("name"),
+        F.concat(F.lit("Framework config "), new_id).alias("name"),
         *have,
         F.lit("draft").alias("status"),
     )

@@ -46,15 +46,20 @@ def list_games(games: DataFrame, limit: int, offset: int = 0, **filters) -> Data
 
 
 def game_by_id(games: DataFrame, game_id: str) -> DataFrame:
-    """Point lookup; the season in the id becomes a partition filter."""
-    known = F.lit(game_id)
-    return with_status(games.where((F.col("season") == season_of_game_id(known)) & (F.col("game_id") == known)))
+    """Point lookup. The id decides; its season, where it names one, only skips partitions.
+
+    Ids of other seasons than B13 accepts carry no season to prune by, and are looked up all the same.
+    """
+    year = game_id.split("_")[0]
+    found = games.where(F.col("game_id") == game_id)
+    if year.isdigit() and 2000 <= int(year) <= 2100:
+        found = found.where(F.col("season") == int(year))
+    return with_status(found)
 
 
 def lookup(df: DataFrame, ids: DataFrame, key: str = "game_id") -> DataFrame:
-    """Many point lookups at once: ids carry the season they belong to."""
-    wanted = ids.select(key, season_of_game_id(F.col(key)).alias("season")).where(F.col("season").isNotNull())
-    return df.join(wanted.distinct(), [key, "season"], "left_semi")
+    """Many point lookups at once, by id alone."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def valid_teams(df: DataFrame, column: str) -> DataFrame:

@@ -78,7 +78,9 @@ def walk_forward(
     """
     spark = matrix.sparkSession
     prepared = prepare_folds(matrix, fold_rows, cols)
-    present = [r["fold"] for r in prepared.select("fold").distinct().orderBy("fold").collect()]
+    # a fold is run if it has rows of both roles; the run record tells how many of all folds that were
+    sizes = prepared.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b"))
+    present = [r["fold"] for r in sizes.where("a > 0 and b > 0").orderBy("fold").collect()]
 
     def fit(fold: int):
         rows = prepared.where((F.col("fold") == fold) & (F.col("role") == "train"))
@@ -194,14 +196,14 @@ def run_experiment(
         )
         if shuffled:
             result.totals = result.totals.withColumn("gate_passed", F.lit(False))
-        if runs_path:
-            summary = summarise_run(result, identity, config, cols + extra, universe, shuffled, fold_rows.count())
-            append(summary, runs_path)
-        if predictions_path:
+        if predictions_path:  # before the run's row, so that a run recorded as complete has its predictions
             stamped = result.predictions.withColumns(
                 {"run_id": F.lit(run_id), "experiment_id": F.lit(config["experiment_id"])}
             )
             append_predictions(stamped, predictions_path)
+        if runs_path:
+            counts = (len(result.models), fold_rows.count())
+            append(summarise_run(result, identity, config, cols + extra, universe, shuffled, *counts), runs_path)
         return result
     except Exception as error:
         if runs_path:
@@ -210,7 +212,7 @@ def run_experiment(
 
 
 def summarise_run(
-    result: Backtest, identity: dict, config: dict, cols: list[str], universe, shuffled: bool, n_folds: int
+    result: Backtest, identity: dict, config: dict, cols: list[str], universe, shuffled: bool, n_done: int, n_folds: int
 ) -> DataFrame:
     """The run-table row of a finished run."""
     notes = config.get("description") or ""
@@ -237,7 +239,7 @@ def summarise_run(
             "gate_passed",
             F.lit(config["methodology"]["train_seasons"]).alias("training_window_years"),
             seasons.alias("seasons_evaluated"),
-            F.lit(n_folds).alias("folds_complete"),
+            F.lit(n_done).alias("folds_complete"),
             F.lit(n_folds).alias("folds_total"),
             F.lit(notes).alias("notes"),
             F.lit(json.dumps(config.get("evaluation", {}))).alias("success_criteria"),

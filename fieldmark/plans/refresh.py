@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.operators.curate import curate_games, curate_plays
 from fieldmark.operators.quality import closing_line_audit, require, validation_checks
+from fieldmark.schemas import GAMES, PLAYS
 from fieldmark.sources.coerce import harmonise
 from fieldmark.sources.readers import read_table
 from fieldmark.sources.sinks import replace_partitions
@@ -26,18 +27,19 @@ def refresh(
     raw_plays_path: str,
     games_path: str,
     plays_path: str,
-    files_per_season: int = 1,
+    files_per_season: int | None = None,
     **ranges,
 ) -> DataFrame:
     """Curate and replace the seasons present in the raw tables; returns the check table.
 
     Games are written before plays read them back, so the referential filter uses the stored
-    table. Rerunning replaces the same partitions with the same rows.
+    table. Rerunning replaces the same partitions with the same rows. Landed seasons may differ in
+    columns, so only the raw reads merge schemas; ``files_per_season`` overrides the writers' own sizing.
     """
-    raw_games = harmonise(read_table(spark, raw_games_path))
+    raw_games = harmonise(read_table(spark, raw_games_path, merge=True))
     audit_or_stop(raw_games)
     replace_partitions(curate_games(raw_games), games_path, ["home_team", "away_team"])
-    games = read_table(spark, games_path)
-    raw_plays = harmonise(read_table(spark, raw_plays_path))
+    games = read_table(spark, games_path, schema=GAMES)
+    raw_plays = harmonise(read_table(spark, raw_plays_path, merge=True))
     replace_partitions(curate_plays(raw_plays, games), plays_path, ["game_id", "posteam"], files=files_per_season)
-    return validation_checks(read_table(spark, plays_path), games, **ranges)
+    return validation_checks(read_table(spark, plays_path, schema=PLAYS), games, **ranges)

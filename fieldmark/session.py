@@ -41,11 +41,14 @@ _fallback: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    A temporary folder is made only where the setting is absent, as in local tests.
+    Without the setting a local master gets a temporary folder, which its one process sees; on a
+    cluster executors would not see each other's files, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app_id = spark.sparkContext.applicationId
     if app_id not in _fallback:
         _fallback[app_id] = tempfile.mkdtemp(prefix="fieldmark-")

@@ -40,10 +40,16 @@ FEATURE_GAME_COLUMNS = [
 ]
 
 
-def read_table(spark: SparkSession, path: str, season=None, columns=None) -> DataFrame:
-    """Parquet table, optionally one season (a partition filter) and a column subset."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return season_slice(df, season, columns)
+def read_table(
+    spark: SparkSession, path: str, season=None, columns=None, schema: T.StructType | None = None, merge: bool = False
+) -> DataFrame:
+    """Parquet table, optionally one season (a partition filter) and a column subset.
+
+    With the declared ``schema`` no footer is read before the scan. ``merge`` opens every footer,
+    which only a table whose files differ in columns needs.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", str(merge).lower())
+    return season_slice(reader.parquet(path), season, columns)
 
 
 def season_slice(df: DataFrame, season=None, columns=None) -> DataFrame:
@@ -61,19 +67,35 @@ def feature_games(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header. A schema saves the extra pass that type inference costs."""
+    """CSV with a header. Without a schema every column is text, for ``typed_text`` to decide on in one profile."""
     reader = spark.read.option("header", "true")
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", "true")
-    return reader.csv(path)
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def typed_text(df: DataFrame) -> DataFrame:
+    """Text columns cast to bigint, double or boolean where every value present reads as one; one pass decides."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    kinds = ("bigint", "double")
+    fits = df.agg(
+        *[F.count(c).alias(f"{i}_n") for i, c in enumerate(texts)],
+        *[F.count(F.col(c).try_cast(k)).alias(f"{i}_{k}") for i, c in enumerate(texts) for k in kinds],
+        *[F.count_if(F.lower(c).isin("true", "false")).alias(f"{i}_boolean") for i, c in enumerate(texts)],
+    ).first()
+    out = {}
+    for i, c in enumerate(texts):
+        kind = next((k for k in (*kinds, "boolean") if fits[f"{i}_n"] and fits[f"{i}_{k}"] == fits[f"{i}_n"]), None)
+        if kind:
+            out[c] = F.col(c).cast(kind)
+    return df.withColumns(out)
 
 
 def read_json_records(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, whole_file: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, whole_file: bool = False
 ) -> DataFrame:
     """JSON arrays of objects, one row per object.
 
-    ``whole_file`` reads each file as one document; without it every line holds an array or
-    an object, which lets Spark split large files.
+    Every line holds an array or an object, so Spark can split large files. ``whole_file`` reads
+    each file as one document in one task.
     """
     reader = spark.read.option("multiLine", str(whole_file).lower())
     return (reader.schema(schema) if schema else reader).json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,11 +12,14 @@ from fieldmark.sources.coerce import project_to
 SALT = "_write_salt"
 
 
-def spread_for_write(df: DataFrame, partition: str, cluster: list[str], files: int = 1) -> DataFrame:
-    """Rows of one partition value go to ``files`` tasks, sorted so row groups prune well.
+def spread_for_write(df: DataFrame, partition: str, cluster: list[str], files: int | None = None) -> DataFrame:
+    """Rows dealt to writers by partition value and cluster columns, sorted so row groups prune well.
 
-    A large or hot season needs ``files`` > 1: the salt splits it over that many writers.
+    Spark sizes the writers as the data needs (a rebalance): it merges small ones and splits a large
+    or hot partition value over several. ``files`` deals each value to that many writers instead.
     """
+    if files is None:
+        return df.hint("rebalance", F.col(partition)).sortWithinPartitions(partition, *cluster)
     salt = F.pmod(F.xxhash64(*cluster), F.lit(files))
     return (
         df.withColumn(SALT, salt)
@@ -40,17 +43,13 @@ def create_table(
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    """Whether anything is stored at the path; an unreadable table is an error, not an absent one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def replace_partitions(
-    df: DataFrame, path: str, cluster: list[str], partition: str = "season", files: int = 1
+    df: DataFrame, path: str, cluster: list[str], partition: str = "season", files: int | None = None
 ) -> None:
     """Replace only the partitions present in the frame, so a rerun leaves the same table."""
     (
@@ -87,21 +86,18 @@ def run_record(metrics: DataFrame) -> DataFrame:
 
 
 def error_record(spark: SparkSession, run: dict, message: str) -> DataFrame:
-    """Record of a run that failed; long messages are cut to the column's limit of 4096."""
+    """Record of a run that failed, with its whole message."""
     have = [f for f in RUNS.fields if f.name in run]
     one = spark.createDataFrame(
         [tuple(run[f.name] for f in have)], T.StructType([T.StructField(f.name, f.dataType) for f in have])
     )
-    return project_to(
-        one.withColumns(
-            {
-                "status": F.lit("failed"),
-                "gate_passed": F.lit(False),
-                "error_message": F.substring(F.lit(message), 1, 4096),
-            }
-        ),
-        RUNS,
-    )
+    return failed_records(one, F.lit(message))
+
+
+def failed_records(runs: DataFrame, message: Column) -> DataFrame:
+    """The run-table rows of runs that failed with ``message``: status, no gate, the whole message."""
+    failed = {"status": F.lit("failed"), "gate_passed": F.lit(False), "error_message": message}
+    return project_to(runs.withColumns(failed), RUNS)
 
 
 def evolve(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def rows(df):
 
 def test_csv_and_json_uploads(spark, tmp_path):
     (tmp_path / "u.csv").write_text("team,score,ok\nA,1.5,true\nB,,false\n")
-    csv = readers.read_csv(spark, str(tmp_path / "u.csv"))
+    csv = readers.typed_text(readers.read_csv(spark, str(tmp_path / "u.csv")))
     assert rows(csv) == [("A", 1.5, True), ("B", None, False)]
     (tmp_path / "u.json").write_text(json.dumps([{"team": "A", "score": 1}, {"team": "B"}], indent=1))
-    data = readers.read_json_records(spark, str(tmp_path / "u.json"))
+    data = readers.read_json_records(spark, str(tmp_path / "u.json"), whole_file=True)
     assert rows(data.select("team", "score")) == [("A", 1), ("B", None)]
     got = {r["column_name"]: (r["data_type"], r["null_rate"]) for r in column_profile(csv).collect()}
     assert got == {"team": ("categorical", 0.0), "score": ("numeric", 0.5), "ok": ("boolean", 0.0)}
@@ -68,7 +68,7 @@ def test_columns_can_be_added(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.append(spark.createDataFrame([(1, "a")], "season int, k string"), path, "season")
     sinks.append(spark.createDataFrame([(2, "b", 5)], "season int, k string, extra int"), path, "season")
-    assert rows(readers.read_table(spark, path).select("season", "k", "extra")) == [(1, "a", None), (2, "b", 5)]
+    assert rows(readers.read_table(spark, path, merge=True).select("season", "k", "extra")) == [(1, "a", None), (2, "b", 5)]
 
 
 RAW_GAME = (
