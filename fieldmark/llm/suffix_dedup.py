@@ -38,8 +38,8 @@ from fieldmark.llm.common import RollingHash, documents, slices, store, text_byt
 
 FIRST_HASH, SECOND_HASH = 7101, 7102
 ORDER = 11  # of the cover: 12 samples in 133 positions
-BLOCK_BITS = 7  # 128 texts meet their suffixes again in one group
-CHUNK_ENTRIES, BUCKET_BYTES, ENTRY_BYTES = 1 << 20, 24 << 20, 24
+BLOCK_BITS = 9  # 512 texts meet their suffixes again in one group
+CHUNK_ENTRIES, BUCKET_BYTES, ENTRY_BYTES = 1 << 20, 64 << 20, 24
 ENTRIES = "bucket int, tied boolean, hashes binary, checks binary, gids binary, places binary"
 TIES = "block long, n long, gids binary, places binary"
 
