@@ -346,36 +346,59 @@ def _m12(v):
 # --- permutations and fits: properties only -----------------------------------------------
 
 
-@query("e15_shuffled_labels", "season:i n:i covers:i pushes:i", """
-SELECT season, COUNT(*) AS n, COUNT(*) FILTER (WHERE home_covered) AS covers, COUNT(*) FILTER (WHERE home_covered IS NULL) AS pushes
-FROM v_games GROUP BY 1""")
+@query("e15_shuffled_labels", "season:i n:i covers:i pushes:i moved:b repeats:b", """
+SELECT season, COUNT(*) AS n, COUNT(*) FILTER (WHERE home_covered) AS covers, COUNT(*) FILTER (WHERE home_covered IS NULL) AS pushes,
+  TRUE AS moved, TRUE AS repeats FROM v_games GROUP BY 1""")
 def _e15(v):
-    """A permutation keeps the labels of each season; the SQL counts them unpermuted."""
-    return (
-        permute.shuffle_labels(v.games, 7)
-        .groupBy("season")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if("home_covered").alias("covers"),
-            F.count_if(F.col("home_covered").isNull()).alias("pushes"),
-        )
+    """A permutation keeps the labels of each season, moves them, and comes out the same again."""
+    label = F.col("home_covered")
+    named = [df.select("game_id", label.alias(c)) for df, c in ((v.games, "was"), (permute.shuffle_labels(v.games, 7), "again"))]
+    joined = permute.shuffle_labels(v.games, 7).join(named[0], "game_id").join(named[1], "game_id")
+    return joined.groupBy("season").agg(
+        F.count("*").alias("n"),
+        F.count_if(label).alias("covers"),
+        F.count_if(label.isNull()).alias("pushes"),
+        F.max(~label.eqNullSafe(F.col("was"))).alias("moved"),
+        F.min(label.eqNullSafe(F.col("again"))).alias("repeats"),
     )
 
 
-@query("e16_permuted_feature", "season:i n:i total:f", """
-SELECT season, COUNT(*) AS n, SUM(home_spread_close) AS total FROM v_games GROUP BY 1""")
+@query("e16_permuted_feature", "season:i n:i total:f moved:b repeats:b", """
+SELECT season, COUNT(*) AS n, SUM(home_spread_close) AS total, TRUE AS moved, TRUE AS repeats FROM v_games GROUP BY 1""")
 def _e16(v):
-    permuted = permute.permute_column(v.games, "home_spread_close", ["season"], ["game_id"], 11)
-    return permuted.groupBy("season").agg(F.count("*").alias("n"), F.sum("home_spread_close").alias("total"))
+    def permuted():
+        return permute.permute_column(v.games, "home_spread_close", ["season"], ["game_id"], 11)
+
+    value = F.col("home_spread_close")
+    joined = permuted().join(v.games.select("game_id", value.alias("was")), "game_id")
+    joined = joined.join(permuted().select("game_id", value.alias("again")), "game_id")
+    return joined.groupBy("season").agg(
+        F.count("*").alias("n"),
+        F.sum(value).alias("total"),
+        F.max(~value.eqNullSafe(F.col("was"))).alias("moved"),
+        F.min(value.eqNullSafe(F.col("again"))).alias("repeats"),
+    )
 
 
-_FEW = ["home_ol_pass_epa_per_att", "away_ol_pass_epa_per_att", "home_season_win_pct", "away_season_win_pct", "temp"]
-_SMALL = {"n_estimators": 3, "max_depth": 3}
+COLUMNS_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in model_columns()) + ") AS t(feature)"
+_stored_runs: dict = {}
 
 
-def _backtest(v):
-    cols = _FEW
-    return experiment.walk_forward(stored(v), folds.season_folds(v.games, 4), cols, hyperparams=_SMALL)
+def _config(v, **method) -> dict:
+    seasons = v.games.agg(F.min("season"), F.max("season")).first()
+    base = experiment.default_config(seasons[0], seasons[1], 4)
+    return {**base, "methodology": {**base["methodology"], **method}}
+
+
+def _full_run(v):
+    """The standalone run with its declared settings, written once and shared by the queries that describe it."""
+    from fieldmark.session import scratch_path
+
+    key = (v.spark.sparkContext.applicationId, v.dir)
+    if key not in _stored_runs:
+        runs, preds = scratch_path(v.spark, "runs"), scratch_path(v.spark, "predictions")
+        _stored_runs[key] = experiment.run_experiment(v.spark, _config(v), stored(v), runs, preds), runs, preds
+    return _stored_runs[key]
 
 
 @query("m4_m5_m8_walk_forward", "fold:i n:i n_games:i pushes:i in_range:b", """
@@ -384,7 +407,7 @@ FROM v_preds WHERE run_id = 'run_p1' GROUP BY 1""")
 def _m8(v):
     """Fitted probabilities are checked by property: every test game once, in [0, 1]."""
     p = F.col("predicted_home_cover_prob")
-    return _backtest(v).predictions.groupBy("fold").agg(
+    return _full_run(v)[0].predictions.groupBy("fold").agg(
         F.count("*").alias("n"),
         F.count("correct").alias("n_games"),
         F.count_if(F.col("correct").isNull()).alias("pushes"),
@@ -392,66 +415,60 @@ def _m8(v):
     )
 
 
-@query("m6_importance", "feature importance:f")
+@query("m6_importance", "feature not_negative:b total:f", f"SELECT feature, TRUE AS not_negative, 1.0 AS total FROM {COLUMNS_SQL} WHERE EXISTS (SELECT 1 FROM v_games)")
 def _m6(v):
-    return _backtest(v).importance
+    """A row per model column, and all importances together are 1."""
+    found = _full_run(v)[0].importance
+    total = found.agg(F.sum("importance").alias("total"))
+    return found.withColumn("not_negative", F.col("importance") >= 0).withColumn("total", total.scalar())
 
 
-@query("m11_permutation_importance", "feature baseline_hr:f permuted_hr:f hr_drop:f")
+@query("m11_permutation_importance", "feature base_is_hit_rate:b drop_is_difference:b", f"""
+SELECT feature, TRUE AS base_is_hit_rate, TRUE AS drop_is_difference FROM {COLUMNS_SQL} WHERE EXISTS (SELECT 1 FROM v_games)""")
 def _m11(v):
-    return experiment.permutation_importance(_backtest(v), _FEW)
-
-
-def _config(v, **method) -> dict:
-    seasons = v.games.agg(F.min("season"), F.max("season")).first()
-    base = experiment.default_config(seasons[0], seasons[1], 4)
-    return {
-        **base,
-        "methodology": {**base["methodology"], **method},
-        "model": {"type": "xgboost", "hyperparams": _SMALL},
-    }
-
-
-def _run_and_read(v, configs: list[dict], runner) -> object:
-    from fieldmark.session import scratch_path
-
-    runs, preds = scratch_path(v.spark, "runs"), scratch_path(v.spark, "predictions")
-    runner(configs, runs, preds)
-    return v.spark.read.parquet(runs), v.spark.read.parquet(preds)
+    """A row per model column: the baseline is the run's hit rate, the drop its difference to the permuted one."""
+    run, runs, _ = _full_run(v)
+    rate = v.spark.read.parquet(runs).select("ats_hit_rate").scalar()
+    found = experiment.permutation_importance(run, model_columns())
+    return found.select(
+        "feature",
+        (F.abs(F.col("baseline_hr") - rate) < 1e-9).alias("base_is_hit_rate"),
+        (F.abs(F.col("baseline_hr") - F.col("permuted_hr") - F.col("hr_drop")) < 1e-9).alias("drop_is_difference"),
+    )
 
 
-@query("m14_configured_run", "experiment_id status games:i predictions:i folds_total:i features:i")
+@query("m14_configured_run", "experiment_id status games:i predictions:i folds_complete:i folds_total:i features:i", f"""
+SELECT 'default' AS experiment_id, 'complete' AS status, COUNT(correct) AS games, COUNT(*) AS predictions,
+  COUNT(DISTINCT fold) AS folds_complete, COUNT(DISTINCT fold) AS folds_total, {len(model_columns())} AS features
+FROM v_preds WHERE run_id = 'run_p1'""")
 def _m14(v):
     """A run written and read back: one run row, one prediction per test game."""
-    config = _config(v)
-    runs, preds = _run_and_read(
-        v, [config], lambda cs, r, p: experiment.run_experiment(v.spark, cs[0], stored(v), r, p)
-    )
-    counts = preds.groupBy("experiment_id").agg(F.count("*").alias("predictions"))
-    return runs.select(
+    _, runs, preds = _full_run(v)
+    counts = v.spark.read.parquet(preds).groupBy("experiment_id").agg(F.count("*").alias("predictions"))
+    return v.spark.read.parquet(runs).select(
         "experiment_id",
         "status",
         F.col("n_games_evaluated").alias("games"),
+        "folds_complete",
         "folds_total",
         F.size(F.from_json("features", "array<string>")).alias("features"),
     ).join(counts, "experiment_id")
 
 
-@query("m15_situational_runs", "experiment_id status games:i")
+@query("m15_situational_runs", "experiment_id status games:i", """
+SELECT 'default_late' AS experiment_id, 'complete' AS status, COUNT(correct) AS games FROM v_preds WHERE run_id = 'run_p1' AND week >= 6
+UNION ALL SELECT 'default_same_region', 'complete', COUNT(correct) FROM v_preds p JOIN v_games g USING (game_id) WHERE p.run_id = 'run_p1' AND g.div_game""")
 def _m15(v):
+    from fieldmark.session import scratch_path
+
     universes = {
         "late": {"field": "week", "operator": "gte", "value": "6"},
         "same_region": {"field": "div_game", "operator": "eq", "value": "true"},
     }
+    runs, preds = scratch_path(v.spark, "runs"), scratch_path(v.spark, "predictions")
     config = _config(v, min_universe=50)
-    runs, _ = _run_and_read(
-        v,
-        [config],
-        lambda cs, r, p: experiment.run_situational(
-            v.spark, cs[0], stored(v), universes, runs_path=r, predictions_path=p
-        ),
-    )
-    return runs.select("experiment_id", "status", F.col("n_games_evaluated").alias("games"))
+    experiment.run_situational(v.spark, config, stored(v), universes, runs_path=runs, predictions_path=preds)
+    return v.spark.read.parquet(runs).select("experiment_id", "status", F.col("n_games_evaluated").alias("games"))
 
 
 @query("m17_refresh_selection", "experiment_id status gate_passed:b", """
@@ -462,11 +479,12 @@ def _m17(v):
     return refresh_candidates(v.configs).orderBy(F.desc("updated_at"), "experiment_id")
 
 
-@query("m19_standalone_run", "ol_mismatch_flag:i wins:i losses:i pushes:i")
+@query("m19_standalone_run", "ol_mismatch_flag:i games:i pushes:i", """
+SELECT f.ol_mismatch_flag, COUNT(p.correct) AS games, COUNT(*) FILTER (WHERE p.correct IS NULL) AS pushes
+FROM v_preds p JOIN v_flag f USING (game_id) WHERE p.run_id = 'run_p1' GROUP BY 1""")
 def _m19(v):
     """All model columns with mismatch flags, as the first standalone run has them."""
     flagged = mismatch.mismatch_flag(stored(v))
-    run = experiment.walk_forward(
-        flagged, folds.season_folds(v.games, 4), model_columns(), model="ol_xgb_v1", hyperparams=_SMALL
-    )
-    return scoring.record(run.predictions, ["ol_mismatch_flag"])
+    run = experiment.walk_forward(flagged, folds.season_folds(v.games, 4), model_columns(), model="ol_xgb_v1")
+    found = scoring.record(run.predictions, ["ol_mismatch_flag"])
+    return found.select("ol_mismatch_flag", (F.col("wins") + F.col("losses")).alias("games"), "pushes")

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICE_ROWS = 4096
 
 
 def hash_positions(
-    df: DataFrame, group: list[str], key: list[str], seed: int, name: str, slices: int = SLICES
+    df: DataFrame, group: list[str], key: list[str], seed: int, name: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Number the rows of each group 1..n in the order of a seeded hash of their key.
 
-    Ordering by a hash cuts evenly into ranges: rows are ranked inside one of ``slices`` hash
-    ranges per group and shifted by the sizes of the earlier ranges, so the largest sort is
-    group size / slices however large the group is.
+    Ordering by a hash cuts evenly into ranges: rows are ranked inside a hash range of about
+    ``slice_rows`` rows and shifted by the sizes of the earlier ranges, so a larger group has more
+    ranges and no larger sort. The order itself does not depend on the ranges.
     """
     h = F.xxhash64(F.lit(seed), *key)
     part = F.shiftright(h, 32) + F.lit(2**31)
-    ranged = df.withColumns({"_h": h, "_part": F.floor(part * slices / F.lit(2**32)).cast("int")})
+    slices = df.groupBy(*group).agg(F.ceil(F.count("*") / slice_rows).alias("_slices"))
+    ranged = df.withColumn("_h", h).join(slices, group)
+    ranged = ranged.withColumn("_part", F.floor(part * F.col("_slices") / F.lit(2**32)).cast("int")).drop("_slices")
     sizes = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -46,28 +48,26 @@ def shuffle_labels(games: DataFrame, seed: int, label: str = "home_covered") ->
     return permute_column(games, label, ["season"], ["game_id"], seed)
 
 
-def permuted_copies(test: DataFrame, cols: list[str], group: list[str], key: list[str], seed: int) -> DataFrame:
+def permuted_copies(
+    test: DataFrame, cols: list[str], group: list[str], key: list[str], seed: int, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One copy of the test rows per column, with that column permuted inside the group.
 
-    Donor values come from one long table, so the work is one pass whatever the column count.
+    ``carry`` names further columns that stay with their rows. Donor values come from one long table, so the work is one pass whatever the column count.
     """
     width = F.array(*[F.col(c).cast("double") for c in cols])
-    base = test.select(*group, *key, width.alias("_values"))
+    base = test.select(*group, *key, *carry, width.alias("_values"))
     receivers = hash_positions(base, group, key, seed * 2 + 1, "_slot")
     donors = hash_positions(base, group, key, seed * 2, "_slot").select(
         *group, "_slot", F.col("_values").alias("_donor")
     )
     paired = receivers.join(donors, [*group, "_slot"])
     index = F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("_i")
-    copies = paired.select(*group, *key, "_values", "_donor", index)
+    copies = paired.select(*group, *key, *carry, "_values", "_donor", index)
     swapped = F.transform(
         "_values", lambda v, i: F.when(i == F.col("_i"), F.get(F.col("_donor"), F.col("_i"))).otherwise(v)
     )
     names = F.array(*[F.lit(c) for c in cols])
     return copies.select(
-        *group, *key, F.get(names, F.col("_i")).alias("permuted_feature"), swapped.alias("_swapped")
-    ).select(*group, *key, "permuted_feature", *[F.get("_swapped", F.lit(i)).alias(c) for i, c in enumerate(cols)])
-
-
-def rate_drop(hit_rate: Column, permuted: Column) -> Column:
-    return hit_rate - permuted
+        *group, *key, *carry, F.get(names, F.col("_i")).alias("permuted_feature"), swapped.alias("_swapped")
+    ).select(*group, *key, *carry, "permuted_feature", *[F.get("_swapped", F.lit(i)).alias(c) for i, c in enumerate(cols)])

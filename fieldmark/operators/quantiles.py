@@ -54,21 +54,21 @@ def quantiles(
     # an edge per bucket boundary; ties were merged above, so a repeated value fills no bucket
     cuts = [i / buckets for i in range(1, buckets)]
     edges = counts.groupBy(*group).agg(F.percentile_approx("_v", cuts, 10 * buckets).alias("_edges"))
-    same_group = reduce(lambda a, b: a & b, [F.col(f"c.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group])
-    counts = counts.alias("c").join(edges.alias("e"), same_group).select("c.*", "e._edges")
+    if by:
+        same_group = reduce(lambda a, b: a & b, [F.col(f"c.{g}").eqNullSafe(F.col(f"e.{g}")) for g in group])
+        counts = counts.alias("c").join(edges.alias("e"), same_group).select("c.*", "e._edges")
+    else:  # one row of edges: a join would have no key
+        counts = counts.withColumn("_edges", edges.select("_edges").scalar())
     counts = _bucket_of(counts, buckets)
 
     # histogram of everything up to each step: at most buckets rows per (group, step)
     hist = counts.groupBy(*group, step, "_b").agg(F.sum("_n").alias("_n"))
-    upto = F.col("w." + step) >= F.col("h." + step)
-    same = reduce(lambda a, b: a & b, [F.col(f"w.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group])
-    at_step = (
-        every_step.alias("w")
-        .join(hist.alias("h"), same & upto)
-        .select(*[F.col(f"w.{c}") for c in [*group, step]], "h._b", "h._n")
-        .groupBy(*group, step, "_b")
-        .agg(F.sum("_n").alias("_n"))
-    )
+    at_step = hist
+    if order is not None:  # running sums per bucket over a row for each step and bucket
+        grid = every_step.select("*", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_b"), F.lit(0).cast("bigint").alias("_n"))
+        filled = grid.unionByName(hist).groupBy(*group, step, "_b").agg(F.sum("_n").alias("_n"))
+        earlier = Window.partitionBy(*group, "_b").orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+        at_step = filled.withColumn("_n", F.sum("_n").over(earlier)).where("_n > 0")
     in_step = Window.partitionBy(*group, step)
     running = in_step.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     at_step = at_step.withColumns(

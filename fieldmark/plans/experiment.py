@@ -112,9 +112,8 @@ def permutation_importance(run: Backtest, cols: list[str], seed: int = DEFAULT_S
     in one pass per fold.
     """
     test = run.prepared.where(F.col("role") == "test")
-    labels = test.select("fold", "game_id", "home_covered")
-    copies = permuted_copies(test, cols, ["fold"], ["game_id"], seed)
-    wide = assemble(copies, cols).select("fold", "game_id", "permuted_feature", "features")
+    copies = permuted_copies(test, cols, ["fold"], ["game_id"], seed, ("home_covered",))
+    wide = assemble(copies, cols).select("fold", "game_id", "home_covered", "permuted_feature", "features")
     scored = reduce(
         DataFrame.unionByName,
         [
@@ -124,7 +123,7 @@ def permutation_importance(run: Backtest, cols: list[str], seed: int = DEFAULT_S
     )
     right = (F.col("predicted_home_cover_prob") > 0.5) == F.col("home_covered")
     permuted = record(
-        scored.join(labels, ["fold", "game_id"]).withColumn("correct", right.cast("int")), ["permuted_feature"]
+        scored.withColumn("correct", right.cast("int")), ["permuted_feature"]
     ).select(F.col("permuted_feature").alias("feature"), F.col("hit_rate").alias("permuted_hr"))
     base = run.totals.select("overall_hit_rate").scalar()
     return permuted.withColumn("baseline_hr", base).withColumn(

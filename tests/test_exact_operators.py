@@ -76,10 +76,10 @@ def test_small_pools_carry_no_flag(spark):
 def test_positions_are_a_permutation_of_each_group(spark):
     rows = [("hot", i) for i in range(500)] + [("cold", i) for i in range(3)]
     df = spark.createDataFrame(rows, "g string, k int")
-    got = permute.hash_positions(df, ["g"], ["k"], 1, "pos", slices=8).toPandas()
+    got = permute.hash_positions(df, ["g"], ["k"], 1, "pos", slice_rows=20).toPandas()
     for g, part in got.groupby("g"):
         assert sorted(part.pos) == list(range(1, len(part) + 1)), g
-    again = permute.hash_positions(df.repartition(5), ["g"], ["k"], 1, "pos", slices=8).toPandas()
+    again = permute.hash_positions(df.repartition(5), ["g"], ["k"], 1, "pos", slice_rows=20).toPandas()
     merged = got.merge(again, on=["g", "k"])
     assert (merged.pos_x == merged.pos_y).all()
 
