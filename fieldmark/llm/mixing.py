@@ -159,9 +159,13 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     passes = sizes.select("rid", "size", "row").join(parts, "rid").withColumn("pass", F.explode(F.expr("if(twice > 0, array(1, 2), array(1))")))
     passes = passes.withColumn("spans", F.expr("filter(spans, s -> s.times >= pass)"))
     passes = passes.withColumn("whole", F.expr("if(pass = 1, once, twice) = size"))
-    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
-    passes = passes.withColumn("found", F.when(~F.col("whole"), words))
-    cut = F.expr("array_join(flatten(transform(spans, s -> slice(found, cast(s.first_word as int) + 1, cast(s.words as int)))), ' ')")
+    # the words are a lambda's argument, so that they are cut once a row and not once a span
+    words = F.array(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)))
+
+    def joined(found):
+        return F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(found, s["first_word"].cast("int") + 1, s["words"].cast("int")))), " ")
+
+    cut = F.get(F.transform(words, joined), F.lit(0))
     passes = passes.withColumn("new_text", F.when(F.col("whole"), F.col("row.text")).otherwise(cut))
     out = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
