@@ -6,9 +6,11 @@ least ``LEAST`` characters of an encoding's alphabet. For each string an encodin
 smallest alphabet that holds it, and three tests ask whether it could be uniform over that alphabet:
 chi-squared of its letters, runs above and below the middle, and correlation of neighbours.
 
-Strings that pass are then tested against language: of n letters drawn as all such strings of the
-corpus draw them, how likely is it that so few pairs are equal? The moments of that
-count are exact. The probabilities go through false-discovery control (Benjamini-Hochberg at
+Strings that pass are then tested against language: of n letters drawn as the words of all documents
+draw them, how likely is it that so few pairs are equal? Words are whole runs of one case, shorter
+than any string under test and outside the known shapes, so secrets, however many, are no part of
+what they are held against; a thousand letters of English stand in where there are few words. The
+moments of that count are exact. The probabilities go through false-discovery control (Benjamini-Hochberg at
 ``ALPHA``) within each encoding and doubling of length, so short strings, of which there are many
 and which prove little, raise the bar for themselves only. Letter counts, test counts and
 thresholds are made over all documents.
@@ -36,7 +38,12 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 LEAST, ALPHA, UNIFORM_P = 20, 0.01, 0.001
 RANDOM = r"[A-Za-z0-9+/_-]{20,}"
+# whole runs of the letters above that are words: of one case or capitalised, shorter than LEAST
+WORD = r"(?<![A-Za-z0-9+/_-])(?:[A-Z]?[a-z]{1,18}+|[A-Z]{1,19}+)(?![A-Za-z0-9+/_-])"
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+LETTERS = UPPER + LOWER
+#: letters a to z in a thousand of English
+ENGLISH = [82, 15, 28, 43, 126, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 18, 1]
 #: name, pattern and alphabet, the smallest first
 ENCODINGS = [
     ("digits", "^[0-9]+$", DIGITS),
@@ -63,6 +70,16 @@ def matches(text: str, pattern: str) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), both)
 
 
+def word_letters(text: str) -> Column:
+    """How often each of ``LETTERS`` stands in the words of a text, known shapes left out."""
+    for pattern in (ASSIGN, ACCESS):
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(" "))
+    words = F.array_join(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), "")
+    # an array of one, so that the words are cut once and not for every letter
+    count = lambda w: F.transform(F.split(F.lit(LETTERS), ""), lambda c: F.length(w) - F.length(F.replace(w, c, F.lit(""))))
+    return F.transform(F.array(words), count)[0]
+
+
 def spans_of(found: DataFrame, column: str) -> DataFrame:
     """rid, start, end, value of every match in an array of ``matches``."""
     rows = found.select("rid", F.posexplode(column).alias("k", "m")).select("rid", "k", "m.gap", "m.value")
@@ -111,15 +128,20 @@ def tested(strings: DataFrame) -> DataFrame:
     return rows.withColumn("p_uniform", F.least(3 * least, F.lit(1.0))).withColumn("pairs", (F.col("squares") - F.col("n")) / 2).drop("x", "steps")
 
 
-def random_strings(strings: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """The rows of ``strings(.., value)`` that the battery and the false-discovery control call random."""
+def random_strings(strings: DataFrame, letters: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """The rows of ``strings(.., value)`` that the battery and the false-discovery control call random.
+
+    ``letters(letters)`` has the counts of ``word_letters``, of any number of texts a row.
+    """
     keys = [c for c in strings.columns if c != "value"]
-    rows = store(tested(strings).select(*keys, "encoding", "alphabet", "n", "counts", "pairs", "p_uniform"), "tested")
-    letters = rows.select(F.posexplode("counts").alias("k", "c"), "alphabet").withColumn("letter", F.expr("substring(alphabet, k + 1, 1)"))
-    letters = letters.groupBy("letter").agg(F.sum("c").cast("double").alias("c"))
-    # one row: how often two, and three, letters drawn from the corpus's strings are equal
-    t, t2, t3 = letters.agg(F.sum("c"), F.sum(F.pow("c", F.lit(2.0))), F.sum(F.pow("c", F.lit(3.0)))).first()
-    n, q, s = F.col("n"), F.lit((t2 or 0.0) / (t or 1.0) ** 2), F.lit((t3 or 0.0) / (t or 1.0) ** 3)
+    rows = store(tested(strings).select(*keys, "encoding", "alphabet", "n", "pairs", "p_uniform"), "tested")
+    sums = letters.select(F.posexplode("letters").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("c"))
+    counts = dict(zip(LETTERS, [0] * len(UPPER) + ENGLISH))
+    for r in sums.collect():  # one row a letter
+        counts[LETTERS[r.k]] += r.c
+    # how often two, and three, letters drawn from the documents' words are equal
+    t, t2, t3 = (float(sum(c**k for c in counts.values())) for k in (1, 2, 3))
+    n, q, s = F.col("n"), F.lit(t2 / t**2), F.lit(t3 / t**3)
     variance = n * (n - 1) / 2 * (q - q * q) + n * (n - 1) * (n - 2) * (s - q * q)
     z = (n * (n - 1) / 2 * q - F.col("pairs")) / F.sqrt(F.greatest(variance, F.lit(1e-9)))
     rows = rows.withColumn("bin", F.floor(-10 * F.log10(F.greatest(upper_tail(z), F.lit(1e-40)))))
@@ -139,7 +161,8 @@ def secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     rows = documents(docs, id_column, text_column).toDF("doc_id", "text")
     rows = rows.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": RANDOM}
-    found = store(rows.select("rid", "doc_id", *[matches("text", p).alias(k) for k, p in patterns.items()]), "matches")
+    found = rows.select("rid", "doc_id", *[matches("text", p).alias(k) for k, p in patterns.items()], word_letters("text").alias("letters"))
+    found = store(found, "matches")
     base = None
     for number, kind in enumerate(KINDS[:3]):
         spans = spans_of(found.filter(F.col(kind).isNotNull()), kind)
@@ -149,7 +172,7 @@ def secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         base = spans if base is None else base.union(spans)
     base = store(base.groupBy("rid").agg(F.collect_list("span").alias("base")), "base")
     strings = spans_of(found.filter("random is not null"), "random")
-    more = random_strings(strings).select("rid", F.struct("start", F.lit(3).alias("kind"), "end").alias("span"))
+    more = random_strings(strings, found.select("letters")).select("rid", F.struct("start", F.lit(3).alias("kind"), "end").alias("span"))
     more = more.groupBy("rid").agg(F.collect_list("span").alias("more"))
     out = found.select("rid", "doc_id").join(base, "rid", "left").join(more, "rid", "left")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")

@@ -77,3 +77,16 @@ def test_random_strings_are_found_and_words_left(spark, planted):
     got = {r.doc_id: r.spans for r in S.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i] == s for i, s in want.items()) >= 0.9 * len(want)
     assert sum(bool(s) for i, s in got.items() if i not in want) <= 3
+
+
+@pytest.mark.parametrize("size", [24, 60])
+def test_many_secrets_do_not_hide_each_other(spark, size):
+    rng = random.Random(8)
+    syllables = ["th", "er", "on", "an", "re", "tion", "ing", "ed", "es", "at", "is", "st"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    letters = S.UPPER + S.LOWER + S.DIGITS + "+/"
+    keys = [(i, "".join(rng.choice(letters) for _ in range(size))) for i in range(2000)]
+    prose = [(2000 + i, " ".join(word(rng.randint(1, 6)) for _ in range(20)) + " " + word(14)) for i in range(500)]
+    got = {r.doc_id: r.spans for r in S.report(spark.createDataFrame(keys + prose, "doc_id long, text string")).collect()}
+    assert sum(got[i] == f"random:0:{size}" for i, _ in keys) >= 0.9 * len(keys)
+    assert sum(bool(got[i]) for i, _ in prose) <= 5
