@@ -1,18 +1,21 @@
 """Approximate nearest neighbours on shifted space-filling curves.
 
-Each of several curves projects all vectors to a few random directions, shifts them by a random
-offset, and orders them by their Hilbert index. Spark sorts the keys by range, so every vector
-gets its rank on every curve. A query meets the candidates whose rank lies within a window of its
+Vectors are put into bands of like length. Each of several curves projects a band's vectors to a few
+random directions, cuts each projection into cells at its quantiles (of a sample), shifted by a random
+offset, and orders the vectors by the Hilbert index of their cell; a cell's vectors are in random order,
+another on every curve. Spark sorts the keys by range, so every vector
+gets its rank on every curve. In each band a query meets the candidates whose rank lies within a window of its
 own; the windows of all curves are merged and ranked by the true inner product, in doubles.
 
 A curve is cut into blocks of equal ranks, whatever the keys, so vectors crowded in one place
-are spread over blocks. A window is a share of all vectors (``window``), so what it finds does not
+are spread over blocks. A window is a share of the band (``window``), so what it finds does not
 change with size; high-dimensional vectors without structure need wide ones. Many queries on one
 block are split into groups of ``QUERIES``.
 
 Equal vectors are one vector with a list of its smallest ids: a query needs at most ``k`` of them.
 The largest inner product is the smallest distance once vectors are padded to equal length, so
-curves order candidates with the missing length as one more coordinate, and queries with zero there.
+curves order candidates with the length they lack to the band's longest as one more coordinate, and
+queries, brought to the band's length, with zero there.
 
 Defined cases: vectors that are null, empty, of another size than the most common one, zero, or hold
 null, NaN or infinite numbers take no part, nor do rows without an id; a repeated id with the
@@ -28,10 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import documents, store
+from fieldmark.llm.common import GOLDEN, documents, mix, store
 
 CURVES, DIMENSIONS, BITS = 16, 8, 4
 BLOCK, QUERIES, LEAST_WINDOW = 2048, 2048, 512
+#: longest to shortest vector of a band; vectors of a band behind its cells' bounds
+BAND, SAMPLE = 1.25, 4096
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -63,28 +68,43 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """Random directions and shifts, the same for every task."""
+    """Random directions and shifts, the same for every task; ``lengths`` has each band's longest."""
 
-    def __init__(self, size: int, length: float, seed: int = 21):
+    def __init__(self, size: int, lengths: list[float], seed: int = 21):
         rng = np.random.default_rng(seed)
         self.directions = rng.normal(size=(CURVES, size + 1, DIMENSIONS))
         self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
-        self.length = length
-        # projections of vectors of one length concentrate within a few standard deviations
-        self.width = 6.0 * length / np.sqrt(size + 1) * 1.5
-        self.shift = rng.random((CURVES, DIMENSIONS)) * self.width / 3
-
-    def keys(self, vectors: np.ndarray, padded: bool) -> np.ndarray:
-        """keys[curve, vector]; ``padded`` adds what a vector lacks in length as a coordinate."""
-        more = np.sqrt(np.maximum(0, self.length**2 - (vectors**2).sum(axis=1))) if padded else np.zeros(len(vectors))
-        whole = np.concatenate([vectors, more[:, None]], axis=1)
-        out = []
-        for directions, shift in zip(self.directions, self.shift):
-            at = (whole @ directions + self.width / 3 + shift) / self.width
-            out.append(hilbert_index(np.clip(at * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64), BITS))
+        shift = 0.9 * (rng.random((CURVES, DIMENSIONS, 1)) - 0.5)
+        #: share of a band below each bound of a cell
+        self.levels = np.clip((np.arange(1, 1 << BITS) - 0.5 + shift) / ((1 << BITS) - 1), 0, 1)
+        self.lengths = lengths
+        self.bounds: dict[int, np.ndarray] = {}  # of each band: curves x dimensions x bounds
+
+    def whole(self, vectors: np.ndarray, band: int, query: bool) -> np.ndarray:
+        squares = (vectors**2).sum(axis=1)
+        if query:
+            return np.concatenate([vectors * (self.lengths[band] / np.sqrt(squares))[:, None], np.zeros((len(vectors), 1))], axis=1)
+        return np.concatenate([vectors, np.sqrt(np.maximum(0, self.lengths[band] ** 2 - squares))[:, None]], axis=1)
+
+    def cut(self, vectors: np.ndarray, band: int) -> np.ndarray:
+        """Bounds of the cells of a band, from some of its vectors."""
+        at = [self.whole(vectors, band, False) @ d for d in self.directions]
+        return np.array([[np.quantile(x, level) for x, level in zip(a.T, levels)] for a, levels in zip(at, self.levels)])
+
+    def keys(self, vectors: np.ndarray, band: int, query: bool) -> np.ndarray:
+        """keys[curve, vector] of vectors of one band, or of queries to it."""
+        whole, out = self.whole(vectors, band, query), []
+        for directions, bounds in zip(self.directions, self.bounds[band]):
+            cells = [np.searchsorted(b, x, side="right") for b, x in zip(bounds, (whole @ directions).T)]
+            out.append(hilbert_index(np.array(cells).T.reshape(len(vectors), DIMENSIONS), BITS))
         return np.array(out).reshape(CURVES, len(vectors))
 
 
+def of_band(values: list, band: str = "band"):
+    """The value of a row's band."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col(band) + 1)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), "<f8").reshape(len(column), -1)
 
@@ -128,56 +148,90 @@ def nearest(
     """query_id, rank, vec_id, score: for ids divisible by ``every``, the k other ids of largest inner product found."""
     spark = vectors.sparkSession
     ids = store(usable(vectors, id_column, vector_column), "vectors")
-    groups = store(smallest(ids, k + 1, ids.count()).withColumn("gid", F.monotonically_increasing_id()), "groups")
-    squares = ids.mapInArrow(
-        lambda batches: (pa.RecordBatch.from_arrays([pa.array([float((matrix(b.column("v")) ** 2).sum(axis=1).max())])], names=["s"]) for b in batches if b.num_rows),
-        "s double",
-    )
-    n, width, square = groups.count(), groups.agg(F.max(F.length("v"))).first()[0], squares.agg(F.max("s")).first()[0]
     answer = "query_id long, rank int, vec_id long, score double"
+    groups = smallest(ids, k + 1, ids.count()).withColumn("gid", F.monotonically_increasing_id())
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                length = np.sqrt((matrix(batch.column("v")) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(length)], names=["gid", "v", "ids", "length"])
+
+    groups = store(groups.select("gid", "v", "ids").mapInArrow(measured, "gid long, v binary, ids array<long>, length double"), "groups")
+    n, width, longest = groups.agg(F.count("*"), F.max(F.length("v")), F.max("length")).first()
     if not n:
         return spark.createDataFrame([], answer)
-    curves = Curves(width // 8, float(np.sqrt(square)))
-    reach = max(LEAST_WINDOW, int(np.ceil(n * window / 2)))
-    # a query has the key of its padded vector where all lengths are equal; else one of its own
+    # bands of like length, the longest first; neighbours that a window covers whole are one band
+    bin_ = F.floor(F.log(F.lit(longest) / F.col("length")) / float(np.log(BAND))).cast("int")
+    starts, sizes, lengths = [], [], []
+    for r in groups.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.max("length").alias("length")).orderBy("bin").collect():
+        if starts and sizes[-1] + r.n <= LEAST_WINDOW:
+            sizes[-1] += r.n
+        else:
+            starts.append(r.bin)
+            sizes.append(r.n)
+            lengths.append(r.length)
+    reach = [max(LEAST_WINDOW, int(np.ceil(m * window / 2))) for m in sizes]
+    band = F.size(F.filter(F.array(*[F.lit(x) for x in starts]), lambda x: x <= bin_)) - 1
+    groups = groups.withColumn("band", band)
+    curves = Curves(width // 8, lengths)
+    some = groups.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < of_band([min(1 << 20, SAMPLE * (1 << 20) // m + 1) for m in sizes]))
+
+    def bounds(table: pa.Table) -> pa.Table:
+        b = table.column("band")[0].as_py()
+        return pa.table({"band": pa.array([b], pa.int32()), "bounds": pa.array([curves.cut(matrix(table.column("v")), b).astype("<f8").tobytes()])})
+
+    cells = {r.band: r.bounds for r in some.select("band", "v").groupBy("band").applyInArrow(bounds, "band int, bounds binary").collect()}
+    for b in range(len(sizes)):  # a band without a sampled vector is one cell
+        raw = np.frombuffer(bytes(cells[b]), "<f8") if b in cells else np.zeros(curves.levels.size)
+        curves.bounds[b] = raw.reshape(curves.levels.shape)
     asking = ids.filter(F.pmod("vec_id", F.lit(every)) == 0)
 
-    def keyed(padded: bool):
+    def keyed(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    keys = curves.keys(matrix(batch.column("v")), padded)
-                    gids = batch.column(0)
+                if not batch.num_rows:
+                    continue
+                x, own = matrix(batch.column("v")), batch.column(0).to_numpy()
+                bands = None if query else batch.column("band").to_numpy()
+                for b in range(len(sizes)) if query else np.unique(bands).tolist():
+                    at = np.arange(len(x)) if query else np.flatnonzero(bands == b)
+                    keys = curves.keys(x[at], b, query)
                     for c in range(CURVES):
+                        salt = mix(own[at].astype(np.uint64) + np.uint64(c + 1) * GOLDEN).view(np.int64)
+                        same = [pa.array(np.full(len(at), v, np.int32)) for v in (c, b)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(batch.num_rows, c, np.int32)), pa.array(keys[c]), gids, pa.array([not padded] * batch.num_rows)],
-                            names=["curve", "key", "id", "query"],
+                            [*same, pa.array(keys[c]), pa.array(salt), pa.array(own[at]), pa.array(np.full(len(at), query))],
+                            names=["curve", "band", "key", "salt", "id", "query"],
                         )
 
         return run
 
-    points = groups.select("gid", "v").mapInArrow(keyed(True), "curve int, key long, id long, query boolean")
-    points = points.union(asking.select("vec_id", "v").mapInArrow(keyed(False), "curve int, key long, id long, query boolean"))
+    shape = "curve int, band int, key long, salt long, id long, query boolean"
+    points = groups.select("gid", "v", "band").mapInArrow(keyed(False), shape)
+    points = points.union(asking.select("vec_id", "v").mapInArrow(keyed(True), shape))
     # ranks: rows sorted over range partitions, then counted in two levels
-    ordered = points.repartitionByRange("curve", "key", "query", "id").sortWithinPartitions("curve", "key", "query", "id")
+    order = ["curve", "band", "key", "salt", "query", "id"]
+    ordered = points.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = store(ordered.withColumn("mid", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("mid", 33)
-    runs = ordered.groupBy("curve", part.alias("part")).agg(F.min("mid").alias("low"), F.sum(F.when(F.col("query"), 0).otherwise(1)).alias("k"))
-    before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = ordered.groupBy("curve", "band", part.alias("part")).agg(F.min("mid").alias("low"), F.sum(F.when(F.col("query"), 0).otherwise(1)).alias("k"))
+    before = Window.partitionBy("curve", "band").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("begin", F.coalesce(F.sum("k").over(before), F.lit(0)))
-    inside = Window.partitionBy("curve", "part").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ordered.withColumn("part", part).join(runs, ["curve", "part"])
+    inside = Window.partitionBy("curve", "band", "part").orderBy("mid").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ordered.withColumn("part", part).join(runs, ["curve", "band", "part"])
     ranked = ranked.withColumn("rank", F.col("begin") + F.coalesce(F.sum(F.when(F.col("query"), 0).otherwise(1)).over(inside), F.lit(0)))
-    ranked = store(ranked.select("curve", "id", "query", "rank"), "ranked")
+    ranked = store(ranked.select("curve", "band", "id", "query", "rank"), "ranked")
 
-    data = ranked.filter("not query").select("curve", F.expr(f"rank div {BLOCK}").alias("block"), F.col("id").alias("gid"), "rank")
-    chunks = max(1, int(np.ceil((2 * reach + BLOCK) / max(1, every) / QUERIES)))
-    data = data.join(groups.select("gid", "v", "ids"), "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    asked = ranked.filter("query").select("curve", F.col("id").alias("query_id"), "rank")
+    data = ranked.filter("not query").select("curve", "band", F.expr(f"rank div {BLOCK}").alias("block"), F.col("id").alias("gid"), "rank")
+    n_asking = asking.count()
+    chunks = [max(1, int(np.ceil(n_asking * min(1.0, (2 * r + BLOCK) / m) / QUERIES))) for r, m in zip(reach, sizes)]
+    data = data.join(groups.select("gid", "v", "ids"), "gid").withColumn("chunk", F.explode(F.sequence(F.lit(0), of_band(chunks) - 1)))
+    asked = ranked.filter("query").select("curve", "band", F.col("id").alias("query_id"), "rank")
     asked = asked.join(asking.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).dropDuplicates(["query_id", "qv"]), "query_id")
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    blocks = F.sequence(F.expr(f"greatest(rank - {reach}, 0) div {BLOCK}"), F.expr(f"least(rank + {reach}, {n - 1}) div {BLOCK}"))
-    asked = asked.withColumn("block", F.explode(blocks))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), of_band(chunks)).cast("int")).withColumn("reach", of_band(reach))
+    blocks = F.sequence(F.expr(f"greatest(rank - reach, 0) div {BLOCK}"), F.expr(f"least(rank + reach, size - 1) div {BLOCK}"))
+    asked = asked.withColumn("size", of_band(sizes)).withColumn("block", F.explode(blocks))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "ids": [], "scores": []}
@@ -185,10 +239,10 @@ def nearest(
             x, rank = matrix(left.column("v")), left.column("rank").to_numpy()
             own = left.column("ids").to_pylist()
             q = matrix(right.column("qv"))
-            at = right.column("at").to_numpy()
+            at, far = right.column("at").to_numpy(), right.column("reach").to_numpy()
             for i in range(0, len(q), 256):
                 scores = q[i : i + 256] @ x.T
-                scores[np.abs(at[i : i + 256, None] - rank[None, :]) > reach] = -np.inf
+                scores[np.abs(at[i : i + 256, None] - rank[None, :]) > far[i : i + 256, None]] = -np.inf
                 take = min(k + 1, scores.shape[1])  # the query itself may be among them
                 top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
                 for row in range(len(top)):
@@ -203,8 +257,8 @@ def nearest(
         kinds = {"query_id": pa.int64(), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float64())}
         return pa.table({c: pa.array(out[c], t) for c, t in kinds.items()})
 
-    keys = ["curve", "block", "chunk"]
-    asked = asked.select("query_id", "qv", F.col("rank").alias("at"), *[F.col(c).alias(f"q_{c}") for c in keys])
+    keys = ["curve", "band", "block", "chunk"]
+    asked = asked.select("query_id", "qv", F.col("rank").alias("at"), "reach", *[F.col(c).alias(f"q_{c}") for c in keys])
     found = data.groupBy(*keys).cogroup(asked.groupBy(*[f"q_{c}" for c in keys])).applyInArrow(best, "query_id long, ids array<long>, scores array<double>")
 
     def merge(table: pa.Table) -> pa.Table:

@@ -60,3 +60,20 @@ def test_awkward_rows(spark):
     assert got == {q: [v for v, _ in found] for q, found in want.items()}
     assert A.nearest(table.filter("vec_id < 3")).count() == 2
     assert A.nearest(table.limit(0)).count() == 0 and A.nearest(table.filter("vec_id = 240")).count() == 0
+
+
+def test_recall_with_a_long_vector_and_a_dense_cluster(spark):
+    rng, n = np.random.default_rng(3), 14_000  # a tenth is more than the least window
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1::3] = x[0] + 0.001 * rng.normal(size=(len(x[1::3]), 64))
+    x[5] *= 50
+    ids = np.arange(n)
+    want = brute(ids, x, 100, 20)
+    got: dict = {}
+    for r in A.nearest(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<double>"), every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    share = {q: len(got[q] & {v for v, _ in found}) / 20 for q, found in want.items()}
+    crowded = [s for q, s in share.items() if q % 3 == 1]
+    apart = [s for q, s in share.items() if q % 3 != 1]
+    assert sum(crowded) / len(crowded) >= 0.9 and sum(apart) / len(apart) >= 0.9
