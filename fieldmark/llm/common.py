@@ -159,11 +159,35 @@ def word_spans(data: np.ndarray, offs: np.ndarray, piece: int = 1 << 20) -> tupl
     return np.concatenate(starts), np.concatenate(ends)
 
 
+MARKS = np.zeros(256, bool)
+MARKS[np.frombuffer(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""", np.uint8)] = True
+
+
+def without_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans without punctuation at either end; a span of punctuation only stays."""
+    mark = MARKS[data]
+    two = np.flatnonzero((data[:-1] == 0xC2) & np.isin(data[1:], [0xA1, 0xAB, 0xBB, 0xBF]))
+    general = (data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] >= 0x90)  # dashes, quotes, dots
+    three = np.flatnonzero(general | (data[:-2] == 0xE3) & (data[1:-1] == 0x80) & np.isin(data[2:], [0x81, 0x82]))
+    for at, n in ((two, 2), (three, 3)):
+        for k in range(n):
+            mark[at + k] = True
+    inner = np.append(np.flatnonzero(~mark), len(data))
+    first, last = np.searchsorted(inner, starts), np.searchsorted(inner, ends) - 1
+    some = last >= first
+    return np.where(some, inner[first], starts), np.where(some, inner[last] + 1, ends)
+
+
 def word_hashes(
-    data: np.ndarray, offs: np.ndarray, hasher: RollingHash, piece: int = 1 << 18
+    data: np.ndarray, offs: np.ndarray, hasher: RollingHash, piece: int = 1 << 18, marks: bool = True
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, index of the first word of each text, with one more at the end)."""
+    """(hash of every word, index of the first word of each text, with one more at the end).
+
+    Without ``marks``, words are taken without punctuation at either end.
+    """
     starts, ends = word_spans(data, offs)
+    if not marks:
+        starts, ends = without_marks(data, starts, ends)
     out = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):

@@ -11,7 +11,8 @@ never retrieve an item alone, so only its other words are looked up in a passage
 if what they reach, plus all the weak ones, could pass the threshold. Only then are its items scored.
 
 What is retrieved is verified on five-word shingles: ``overlap`` of those of question and answer
-together must stand in the passage, some of the question's, and half of the answer's words.
+together must stand in the passage, some of the question's, and half of the answer's words, taken
+without punctuation at either end. An answer shorter than a shingle takes in words before it.
 
 The items are indexed in shards of bounded bytes; each shard's index is sent to the executors and
 every document is read once per shard. Word counts over items are made over all of them.
@@ -45,18 +46,24 @@ FOUND = "doc_id long, item_id long, score double, question_overlap double, answe
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """An item's text in two: the last sentence is the answer, or of one sentence its last third of words."""
+    """An item's text in two: the last sentence is the answer, or of one sentence its last third of words.
+
+    The last sentence takes in words before it up to a shingle's, or half of a short item's.
+    """
     sentences = re.split(r"(?<=[.!?])\s+", text.strip())
+    words = text.split()
     if len(sentences) > 1:
+        least = min(SHINGLE, len(words) // 2)
+        if len(sentences[-1].split()) < least:
+            return " ".join(words[:-least]), " ".join(words[-least:])
         return " ".join(sentences[:-1]), sentences[-1]
-    words = text.split()
     cut = len(words) - len(words) // 3
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
-def hashed_words(texts: list[str], hasher: RollingHash) -> list[np.ndarray]:
+def hashed_words(texts: list[str], hasher: RollingHash, marks: bool = True) -> list[np.ndarray]:
     data, offs = text_bytes(pa.array(texts, pa.large_string()))
-    words, first = word_hashes(data, offs, hasher)
+    words, first = word_hashes(data, offs, hasher, marks=marks)
     return [words[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
@@ -71,7 +78,7 @@ class Index:
     item_weights: list[np.ndarray]
     question: list[np.ndarray]
     answer: list[np.ndarray]
-    answer_words: list[np.ndarray]
+    answer_words: list[np.ndarray]  # without outer punctuation
     widths: list[tuple[int, int]]  # words in a shingle of question and answer
     strong_at: np.ndarray  # of each term, where its strong postings begin
     strong_block: np.ndarray
@@ -85,6 +92,7 @@ def build_index(items: list[tuple[int, str]], n_items: int, mean_words: float, f
     parts = [question_and_answer(text) for _, text in items]
     questions = hashed_words([q for q, _ in parts], hasher)
     answers = hashed_words([a for _, a in parts], hasher)
+    bare = hashed_words([a for _, a in parts], hasher, marks=False)
     whole = [np.concatenate([q, a]) for q, a in zip(questions, answers)]
     order = [i for i in np.argsort([len(w) for w in whole], kind="stable") if len(whole[i]) >= LEAST_WORDS]
     if not order:
@@ -122,7 +130,7 @@ def build_index(items: list[tuple[int, str]], n_items: int, mean_words: float, f
         weights,
         [shingles(questions[i], SHINGLE) for i in order],
         [shingles(answers[i], SHINGLE) for i in order],
-        [np.unique(answers[i]) for i in order],
+        [np.unique(bare[i]) for i in order],
         [(min(SHINGLE, max(1, len(questions[i]))), min(SHINGLE, max(1, len(answers[i])))) for i in order],
         np.searchsorted(own, np.arange(len(terms) + 1)),
         np.array([b for _, b, _ in postings], np.int64),
@@ -166,28 +174,29 @@ def open_blocks(index: Index, words: np.ndarray, first: np.ndarray, retrieve: fl
         yield t, window - int(base[t]), int(cell % blocks)
 
 
-def verified(index: Index, k: int, window: np.ndarray, overlap: float) -> tuple[float, float] | None:
-    """Shares of an item's question and answer shingles in a passage, if they make it a copy."""
+def verified(index: Index, k: int, window: np.ndarray, bare: np.ndarray, overlap: float) -> tuple[float, float] | None:
+    """Shares of an item's question and answer shingles in a passage, if they make it a copy; ``bare`` has its words without outer punctuation."""
     hits, sizes = [], []
     for part, width in ((index.question[k], index.widths[k][0]), (index.answer[k], index.widths[k][1])):
         hits.append(int(np.isin(part, shingles(window, width)).sum()) if len(part) else 0)
         sizes.append(len(part))
-    words = np.isin(index.answer_words[k], window).mean() if sizes[1] else 1.0
+    words = np.isin(index.answer_words[k], bare).mean() if sizes[1] else 1.0
     if hits[0] and sum(hits) >= overlap * sum(sizes) and words >= 0.5:
         return hits[0] / sizes[0], hits[1] / sizes[1] if sizes[1] else 1.0
     return None
 
 
-def search(index: Index, words: np.ndarray, first: np.ndarray, retrieve: float, overlap: float) -> dict[tuple[int, int], tuple]:
+def search(index: Index, words: np.ndarray, bare: np.ndarray, first: np.ndarray, retrieve: float, overlap: float) -> dict[tuple[int, int], tuple]:
     """(text, item) -> (score, question overlap, answer overlap) of its best passage."""
     found: dict[tuple[int, int], tuple] = {}
     for text, number, block in open_blocks(index, words, first, retrieve):
         at = first[text] + number * index.passage
-        window = words[at : min(first[text + 1], at + 2 * index.passage)]
+        here = slice(at, min(first[text + 1], at + 2 * index.passage))
+        window = words[here]
         for k in range(block * BLOCK_ITEMS, min(len(index.item_words), (block + 1) * BLOCK_ITEMS)):
             score = float(index.item_weights[k][np.isin(index.terms[index.item_words[k]], window)].sum())
             if score >= retrieve:
-                shares = verified(index, k, window, overlap)
+                shares = verified(index, k, window, bare[here], overlap)
                 if shares:
                     found[text, k] = max(found.get((text, k), (0.0, 0.0, 0.0)), (score, *shares))
     return found
@@ -235,8 +244,10 @@ def leaks(docs: DataFrame, items: DataFrame, retrieve: float = 0.5, overlap: flo
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hasher, index = RollingHash(WORD_HASH, fold_case=True), shared.value
             for batch in slices(batches, "text"):
-                words, first = word_hashes(*text_bytes(batch.column("text")), hasher)
-                found = search(index, words, first, retrieve, overlap)
+                data, offs = text_bytes(batch.column("text"))
+                words, first = word_hashes(data, offs, hasher)
+                bare, _ = word_hashes(data, offs, hasher, marks=False)
+                found = search(index, words, bare, first, retrieve, overlap)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array([t for t, _ in found], pa.int64())),
@@ -257,9 +268,11 @@ def without_leaks(docs: DataFrame, items: DataFrame, retrieve: float = 0.5, over
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hasher, index = RollingHash(WORD_HASH, fold_case=True), shared.value
             for batch in slices(batches, "text"):
-                words, first = word_hashes(*text_bytes(batch.column("text")), hasher)
+                data, offs = text_bytes(batch.column("text"))
+                words, first = word_hashes(data, offs, hasher)
+                bare, _ = word_hashes(data, offs, hasher, marks=False)
                 clean = np.ones(batch.num_rows, bool)
-                clean[[t for t, _ in search(index, words, first, retrieve, overlap)]] = False
+                clean[[t for t, _ in search(index, words, bare, first, retrieve, overlap)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -87,3 +87,19 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert D.leaks(docs.limit(0), items).count() == 0 and D.leaks(docs, items.limit(0)).count() == 0
     assert D.leaks(docs, items).count() == 1 and D.without_leaks(docs, items.limit(0)).count() == 1
+
+
+def test_copies_without_or_with_another_last_word(spark):
+    item = " ".join(f"word{i}" for i in range(38)) + ". Er."
+    body = item.removesuffix(" Er.")
+    copies = [item, body, body + " Er", body + ' Er."', body + " (Er.)", body + " «Er»"]
+    docs = spark.createDataFrame([(i, "before it " + t) for i, t in enumerate(copies)] + [(9, "word0 word1 Er.")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "other words of a second item stand here. Yes.")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()} == {(i, 1) for i in range(len(copies))}
+    assert [r.doc_id for r in D.without_leaks(docs, items).collect()] == [9]
+
+
+def test_outer_punctuation():
+    data, offs = D.text_bytes(D.pa.array(["(Er.) «er» ... a-b", "", "“ER”"]))
+    words, first = D.word_hashes(data, offs, D.RollingHash(1, fold_case=True), marks=False)
+    assert words[0] == words[1] == words[4] and len(set(words.tolist())) == 3 and first.tolist() == [0, 4, 4, 5]
