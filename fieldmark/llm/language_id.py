@@ -268,6 +268,14 @@ def fit_sample(rows: DataFrame, sample_docs: int = 400, path: str | None = None)
     return fit(counts, path) if counts else None
 
 
+def judged(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language of each text, undetermined without letters, and its posterior at equal priors."""
+    likely, words = model.log_likelihoods(texts)
+    best = likely.argmax(axis=1)
+    share = 1 / np.exp(likely - likely.max(axis=1)[:, None]).sum(axis=1)
+    return [model.languages[b] if w else UNDETERMINED for b, w in zip(best, words)], np.where(words > 0, share, 0.0)
+
+
 def predict(docs: DataFrame, model: LanguageModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (posterior of it at equal priors)."""
     rows = documents(docs, id_column, text_column).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
@@ -278,11 +286,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_column: str = "doc_
         for batch in slices(batches, "text"):
             langs, scores = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             if found:
-                likely, words = found.log_likelihoods(batch.column("text"))
-                best = likely.argmax(axis=1)
-                share = 1 / np.exp(likely - likely.max(axis=1)[:, None]).sum(axis=1)
-                langs = [found.languages[b] if w else UNDETERMINED for b, w in zip(best, words)]
-                scores = np.where(words > 0, share, 0.0)
+                langs, scores = judged(found, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"]
             )
@@ -304,21 +308,26 @@ def identify(docs: DataFrame, sample_docs: int = 400, path: str | None = None, f
 
 
 def with_language(docs: DataFrame, sample_docs: int = 400, path: str | None = None) -> DataFrame:
-    """The documents whose text has a language, columns unchanged; those undetermined are rejected."""
+    """The documents whose text has a language, columns unchanged; those undetermined are rejected. Without a labelled row, letters decide."""
     rows = documents(docs, "doc_id", "text", "lang").toDF("id", "text", "lang")
     model = fit_sample(rows.filter(remainder("id", 5) != 0), sample_docs, path)
     return reject(docs, model)
 
 
 def reject(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Rows of ``docs`` that are given a language; every batch is scored and filtered where it is read."""
+    """Rows of ``docs`` that are given a language, or hold letters where no language was learned.
+
+    Every batch is judged and filtered where it is read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         for batch in slices(batches, "text"):
             if found:
-                _, words = found.log_likelihoods(batch.column("text"))
-                yield batch.filter(pa.array(words > 0))
+                keep = np.array(judged(found, batch.column("text"))[0], object) != UNDETERMINED
+            else:
+                keep = np.diff(words_of(batch.column("text"))[2]) > 0
+            yield batch.filter(pa.array(keep.astype(bool)))
 
     return docs.mapInArrow(run, docs.schema)

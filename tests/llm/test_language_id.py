@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -88,3 +89,11 @@ def test_long_words_are_cut_and_summed():
     model = L.fit({"xx": {"ab": 3}}, None, rounds=1)
     likely, words = model.log_likelihoods(pa.array(["é" * 200 + " ab", None]))
     assert words.tolist() == [2, 0] and np.isfinite(likely).all()
+
+
+def test_texts_with_letters_stay_without_labels(spark):
+    left_out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0)
+    for lang in (None, "en"):  # no label, or only one in the fold left out
+        rows = [(left_out, "the house", lang), (500, "der Hund", None), (501, "12 !", None), (502, None, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert {r.doc_id for r in L.with_language(docs).collect()} == {left_out, 500}
