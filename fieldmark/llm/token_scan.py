@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,13 +82,34 @@ def flat_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLAT).parquet(path).filter("kind = 'block'").select("file", "block", "content")
 
 
+def opened(path: str):
+    """A file for reading at any place; the path as Spark names it, in a store that Arrow or the machine's file system reaches."""
+    if path.startswith("file:") or ":" not in path:
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store_, inside = fs.FileSystem.from_uri(path)
+    return store_.open_input_file(inside)
+
+
 def binary_blocks(spark: SparkSession, path: str, width: int = 2, block_tokens: int = 1 << 18) -> DataFrame:
-    """(file, block, content) of plain binary files; a file is one row of Spark's reader, so at most 2 GB."""
+    """(file, block, content) of plain binary files of any size: Spark lists them, each task reads its blocks' byte ranges."""
     step = width * block_tokens
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content", "length")
-    numbered = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / step)).cast("long"))))
-    part = F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step))
-    return numbered.select("file", "block", part.alias("content"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("file"), "length")
+    last = F.greatest(F.lit(0), F.floor((F.col("length") - 1) / step)).cast("long")
+    numbered = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("file", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, file, block, length in zip(*(c.to_pylist() for c in batch.columns)):
+                size = min(step, length - block * step)
+                with opened(name) as source:
+                    content = source.read_at(size, block * step)
+                if len(content) != size:
+                    raise OSError(f"{name}: {len(content)} of {size} bytes at {block * step}")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([content], pa.binary())], names=["file", "block", "content"]
+                )
+
+    return numbered.select("path", "file", "block", "length").mapInArrow(run, "file long, block long, content binary")
 
 
 def count_tokens(blocks: DataFrame, separator: int = END_OF_TEXT, width: int = 2) -> DataFrame:

@@ -104,3 +104,16 @@ def test_plain_binary_files(spark, tmp_path):
     blocks = token_scan.binary_blocks(spark, str(tmp_path), block_tokens=2)
     got = sorted(tuple(r)[1:] for r in token_scan.count_tokens(blocks, separator=9).collect())
     assert got == [(0, 2, True), (1, 0, True), (2, 1, True)]
+
+
+def test_flat_file_over_two_gigabytes(spark, tmp_path):
+    from fieldmark.llm import token_scan
+
+    n = (1 << 30) + 5000
+    with open(tmp_path / "long one.bin", "wb") as f:  # sparse
+        f.truncate(2 * n)
+        for at in (10, 1 << 30):
+            f.seek(2 * at)
+            f.write((token_scan.END_OF_TEXT).to_bytes(2, "little"))
+    got = token_scan.count_tokens(token_scan.binary_blocks(spark, str(tmp_path), block_tokens=1 << 22)).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.n_tokens, r.ended) for r in got] == [(0, 10, True), (1, (1 << 30) - 11, True), (2, 4999, False)]
