@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import curve_ann, decontaminate, language_id, mixing, odd_sketch, quality, secret_scan, suffix_dedup, token_scan, token_store
+from fieldmark.llm import curve_ann, decontaminate, language_id, merkle, mixing, odd_sketch, quality, secret_scan, suffix_dedup, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,59 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector, among all."""
     return curve_ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    shift = "list_reduce(list_concat([xor(c, b)], range(8)), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {shift}), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+def _merkle_sql(levels: int = 13, top: int = 8) -> str:
+    """The manifest with so many levels unrolled: 3 to that power leaves a source, and sources."""
+    steps = []
+
+    def tree(name: str, count: int) -> None:
+        for k in range(count):
+            siblings = "OVER (PARTITION BY t, i // 3 ORDER BY i ROWS BETWEEN {} AND {})"
+            left = siblings.format("UNBOUNDED PRECEDING", "1 PRECEDING")
+            right = siblings.format("1 FOLLOWING", "UNBOUNDED FOLLOWING")
+            steps.append(
+                f"{name}s{k} AS MATERIALIZED (SELECT t, i, n, coalesce(string_agg(d, '') {left}, '') AS l, coalesce(string_agg(d, '') {right}, '') AS r FROM {name}{k}),\n"
+                f"{name}{k + 1} AS MATERIALIZED (SELECT t, i // 3 AS i, (n + 2) // 3 AS n, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE min(d) END AS d FROM {name}{k} GROUP BY t, i // 3, n)"
+            )
+
+    tree("a", levels)
+    steps.append(f"b0 AS MATERIALIZED (SELECT 0 AS t, t AS i, count(*) OVER () AS n, d FROM a{levels})")
+    tree("b", top)
+    folds = [("f0", "SELECT rid, t, i, folded AS acc, '' AS proof FROM leaves")]
+    fold = "CASE WHEN s.n > 1 THEN sha256(concat(s.l, f.acc, s.r)) ELSE f.acc END AS acc, CASE WHEN s.n > 1 THEN concat(f.proof, s.l, s.r) ELSE f.proof END AS proof"
+    for k in range(levels):
+        folds.append((f"f{k + 1}", f"SELECT f.rid, f.t, f.i // 3 AS i, {fold} FROM f{k} f JOIN as{k} s USING (t, i)"))
+    folds.append(("g0", f"SELECT rid, 0 AS t, t AS i, acc, proof FROM f{levels}"))
+    for k in range(top):
+        folds.append((f"g{k + 1}", f"SELECT f.rid, f.t, f.i // 3 AS i, {fold} FROM g{k} f JOIN bs{k} s USING (t, i)"))
+    steps += [f"{name} AS MATERIALIZED ({sql})" for name, sql in folds]
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, *, {_leaf_sql("text")} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS changed,
+    coalesce({_crc32_sql("doc_id::VARCHAR")} % 2 = 0, false) AS hit FROM documents),
+leaves AS MATERIALIZED (SELECT rid, doc_id, leaf, CASE WHEN hit THEN changed ELSE leaf END AS folded,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+a0 AS MATERIALIZED (SELECT t, i, n, leaf AS d FROM leaves),
+{", ".join(steps)}
+SELECT l.doc_id, l.leaf, a.d AS subroot, b.d AS root, sha256(g.proof) AS proof_sha256, g.acc AS folded_root, g.acc = b.d AS verified
+FROM leaves l JOIN g{top} g USING (rid) JOIN a{levels} a ON a.t = l.t JOIN b{top} b ON true
+"""
+
+
+@query(_merkle_sql())
+def op13_pointer_jumping_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document against the root of all."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
