@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import curve_ann, decontaminate, language_id, merkle, mixing, odd_sketch, quality, secret_scan, suffix_dedup, token_scan, token_store
+from fieldmark.llm import anchor_simhash, curve_ann, decontaminate, language_id, merkle, mixing, odd_sketch, quality, secret_scan, suffix_dedup, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +216,9 @@ FROM leaves l JOIN g{top} g USING (rid) JOIN a{levels} a ON a.t = l.t JOIN b{top
 def op13_pointer_jumping_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and check of every document against the root of all."""
     return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of ``documents`` by 64-bit fingerprints of 3-word shingles at 3 bits or fewer."""
+    return anchor_simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=3)
