@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.llm import anchor_simhash, curve_ann, decontaminate, language_id, merkle, mixing, odd_sketch, quality, secret_scan, suffix_dedup, token_scan, token_store
+from fieldmark.llm import anchor_simhash, burst_trie, curve_ann, decontaminate, language_id, merkle, mixing, odd_sketch, quality, secret_scan, suffix_dedup, token_scan, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +222,27 @@ def op13_pointer_jumping_manifest(spark: SparkSession, sf_dir: str) -> DataFrame
 def op11_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates of ``documents`` by 64-bit fingerprints of 3-word shingles at 3 bits or fewer."""
     return anchor_simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=3)
+
+
+@query(
+    rf"""
+WITH t AS (SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS s,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(s ORDER BY p) AS own, {_crc32_sql("c::VARCHAR")} % 4 AS h, c - c % 20 AS base FROM t GROUP BY c),
+r AS MATERIALIZED (SELECT l.c, list_concat(list_slice(coalesce(b.own, []), 1, l.h), list_slice(l.own, l.h + 1, len(l.own))) AS seq FROM l LEFT JOIN l b ON b.c = l.base),
+e AS (SELECT c, len(seq) AS n, seq, unnest(range(0, len(seq) + 1)) AS d FROM r),
+n AS MATERIALIZED (SELECT d, list_slice(seq, 1, d) AS path, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM e GROUP BY d, path),
+k AS MATERIALIZED (SELECT n.*, coalesce(x.n_children, 0) AS n_children FROM n LEFT JOIN
+    (SELECT d - 1 AS d, list_slice(path, 1, d - 1) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL) x USING (d, path)),
+u AS (SELECT unnest(range(0, d + 1)) AS k, path AS whole, n_children,
+    CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM k),
+s AS (SELECT k AS d, list_slice(whole, 1, k) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM u GROUP BY ALL)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256
+FROM k JOIN s USING (d, path) LEFT JOIN n p ON p.d = k.d - 1 AND p.path = list_slice(k.path, 1, k.d - 1)
+"""
+)
+def op12_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return burst_trie.conversation_trie(table(spark, sf_dir, "conversations"))
