@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ from fieldmark.operators.models import (
     standardise,
 )
 from fieldmark.operators.permute import permuted_copies, shuffle_labels
+from fieldmark.operators.quality import require
 from fieldmark.operators.scoring import fold_metrics, gate, mean_importance, record, score, totals
 from fieldmark.schemas import GATE_HIT_RATE, GATE_MIN_GAMES, model_columns
 from fieldmark.session import ensure_checkpoint_dir, materialise
@@ -88,7 +91,7 @@ def walk_forward(
         return fold, estimator(model, seed, hyperparams).fit(train)
 
     with ThreadPoolExecutor(max(1, min(parallel, len(present)))) as pool:
-        models = dict(pool.map(fit, present))
+        models = dict(pool.map(inheritable_thread_target(spark)(fit), present))
 
     test = prepared.where(F.col("role") == "test")
     scored = [
@@ -156,15 +159,17 @@ def experiment_matrix(plays: DataFrame, games: DataFrame, with_mismatch: bool =
 def run_experiment(
     spark: SparkSession,
     config: dict,
-    matrix: DataFrame,
+    matrix: DataFrame | Callable[[], DataFrame],
     runs_path: str | None = None,
     predictions_path: str | None = None,
     user_tables: dict | None = None,
     run_id: str | None = None,
+    guards: DataFrame | None = None,
 ) -> Backtest:
-    """One configured run: columns, universe, optional label shuffle, folds, fit, write.
+    """One configured run: guards, columns, universe, optional label shuffle, folds, fit, write.
 
-    A failure is recorded as a failed run before it is raised.
+    ``matrix`` may be a function that builds it; ``guards`` are checks that must pass first. A failure
+    in any of them is recorded as a failed run before it is raised.
     """
     run_id = run_id or uuid.uuid4().hex
     started = datetime.now(timezone.utc).replace(tzinfo=None)
@@ -178,7 +183,10 @@ def run_experiment(
         "model_type": model.get("type", "xgboost"),
     }
     try:
+        if guards is not None:
+            require(guards)
         _, cols = resolve_columns(config["features"])
+        matrix = matrix() if callable(matrix) else matrix
         seed = int(method.get("random_seed") or DEFAULT_SEED)
         if shuffled:
             matrix = shuffle_labels(matrix, seed)
@@ -279,11 +287,6 @@ def default_config(start: int = DEFAULT_START, end: int = DEFAULT_END, train: in
     }
 
 
-def refresh_production(spark: SparkSession, configs: list[dict], matrix: DataFrame, **paths) -> dict[str, Backtest]:
-    """Rerun the selected configs over one stored matrix."""
-    return {c["experiment_id"]: run_experiment(spark, c, matrix, **paths) for c in configs}
-
-
 def gate_rows(runs: DataFrame) -> DataFrame:
     """Gate decision per stored run from its record; shuffled runs never pass."""
     shuffled = F.coalesce(F.col("notes").contains("SHUFFLE_LABELS=True"), F.lit(False))

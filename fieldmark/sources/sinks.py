@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,9 +68,15 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
+_turns: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
 def append(df: DataFrame, path: str, partition: str | None = None) -> None:
+    """Append rows. Spark's writers of one folder share a staging folder, which the first to finish removes,
+    so the threads of one driver take turns; drivers at the same time write folders of their own."""
     writer = df.write.mode("append")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    with _turns[path]:
+        (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
 def append_predictions(df: DataFrame, path: str) -> None:
