@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from contextlib import suppress
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldmark.checks.q_matrix import stored
@@ -9,9 +13,12 @@ from fieldmark.checks.register import query
 from fieldmark.checks.sql_views import VIEWS
 from fieldmark.checks.views import RUN_WEIGHTS
 from fieldmark.functions.expr import abs_spread_bucket, correct_flag, predicted_side
-from fieldmark.operators import compare, folds, mismatch, models, permute, profile, scoring
-from fieldmark.plans import experiment
-from fieldmark.schemas import model_columns
+from fieldmark.operators import compare, folds, mismatch, models, permute, profile, scoring, versions
+from fieldmark.plans import experiment, lifecycle
+from fieldmark.schemas import RUNS, model_columns
+from fieldmark.session import scratch_path
+from fieldmark.sources.coerce import project_to
+from fieldmark.sources.sinks import append
 
 RECORD = "wins:i losses:i pushes:i n_games:i hit_rate:f"
 RECORD_SQL = """COUNT(*) FILTER (WHERE correct = 1) AS wins, COUNT(*) FILTER (WHERE correct = 0) AS losses,
@@ -59,8 +66,9 @@ _STD = ["home_ol_pass_epa_per_att", "away_def_sack_rate", "home_qb_cpoe", "temp"
     + " FROM v_roles WHERE role = 'train' GROUP BY 1) s ON s.fold = r.fold",
 )
 def _m3(v):
-    tagged = folds.assign_roles(stored(v), folds.season_folds(v.games, 4))
-    return models.standardise(tagged, _STD)
+    roles = folds.role_seasons(folds.season_folds(v.games, 4))
+    moments = models.fold_moments(models.season_moments(stored(v), _STD), roles, _STD)
+    return models.standardise(folds.with_roles(stored(v), roles), _STD, moments)
 
 
 @query("m9_always_home", "game_id predicted_home_cover_prob:f baseline_predicted_side baseline_correct:i", """
@@ -392,8 +400,6 @@ def _config(v, **method) -> dict:
 
 def _full_run(v):
     """The standalone run with its declared settings, written once and shared by the queries that describe it."""
-    from fieldmark.session import scratch_path
-
     key = (v.spark.sparkContext.applicationId, v.dir)
     if key not in _stored_runs:
         runs, preds = scratch_path(v.spark, "runs"), scratch_path(v.spark, "predictions")
@@ -455,12 +461,85 @@ def _m14(v):
     ).join(counts, "experiment_id")
 
 
+def _small(v, **changes) -> dict:
+    """The declared run with few trees: what is checked around it does not depend on the fit."""
+    trees = {"type": "ol_xgb_v2", "hyperparams": {"n_estimators": 3, "max_depth": 2}}
+    return {**_config(v), "model": trees, "target": "home_covered", **changes}
+
+
+def _stored_configs(v, path: str, configs: list[dict]) -> None:
+    """The versions that the events make of their users' configs, then the given configs as drafts."""
+    made = v.config_log.withColumns({"created_at": F.col("updated_at"), "run_count": F.lit(0)})
+    made = made.withColumn("based_on", F.lag("seq").over(Window.partitionBy("experiment_id").orderBy("seq")))
+    rows = project_to(made, lifecycle.CONFIG_LOG).drop("writer")
+    append(rows, f"{path}/writer=events")
+    text = [{k: json.dumps(x) if k in lifecycle.SHAPES else x for k, x in c.items()} for c in configs]
+    lifecycle.add_configs(v.spark, path, v.spark.createDataFrame(text))
+
+
+_UNKNOWN = [{"dataset": "curated", "column": "mystery_metric", "semantic_name": "mystery_metric"}]
+_SMALL_GUARDS = {"min_plays": 1, "min_games": 1, "max_null_pct": 100.0}
+
+
+@query("m14_config_lifecycle", "experiment_id status versions:i run_count:i runs:i predictions:i", """
+SELECT c.experiment_id, arg_max(c.status, c.seq) AS status, COUNT(*) AS versions, 0 AS run_count, 0 AS runs, 0 AS predictions FROM v_cfg_log c GROUP BY 1
+UNION ALL SELECT 'sound', 'complete', 3, 1, 1, COUNT(*) FROM v_preds WHERE run_id = 'run_p1'
+UNION ALL SELECT 'unknown_feature', 'failed', 3, 1, 1, 0 UNION ALL SELECT 'half_loaded', 'failed', 3, 1, 1, 0""")
+def _m14_lifecycle(v):
+    """Every config of the log as it stands after three of them have been run from it."""
+    log, runs, preds = (scratch_path(v.spark, n) for n in ("configs", "runs", "predictions"))
+    names = {"sound": {}, "unknown_feature": {"features": _UNKNOWN}, "half_loaded": {}}
+    _stored_configs(v, log, [_small(v, experiment_id=n, name=n, **more) for n, more in names.items()])
+    for name in names:
+        guards = {**_SMALL_GUARDS, "min_games": 10**12 if name == "half_loaded" else 1}
+        with suppress(ValueError):
+            lifecycle.run_config(v.spark, log, name, v.plays, v.games, stored(v), runs, preds, guards=guards)
+    stand = lifecycle.config_log(v.spark, log)
+    versions = stand.groupBy("experiment_id").agg(F.count("*").alias("versions"))
+    done = v.spark.read.schema(RUNS).parquet(runs).groupBy("experiment_id").agg(F.count("*").alias("runs"))
+    found = v.spark.read.parquet(preds).groupBy("experiment_id").agg(F.count("*").alias("predictions"))
+    own = lifecycle.heads(stand, "experiment_id").select("experiment_id", "status", "run_count")
+    return own.join(versions, "experiment_id").join(done, "experiment_id", "left").join(found, "experiment_id", "left").fillna(0)
+
+
+@query("m17_refresh_production", "experiment_id status run_count:i error_kept:b games:i", """
+SELECT 'first' AS experiment_id, 'complete' AS status, 1 AS run_count, FALSE AS error_kept, COUNT(correct) AS games FROM v_preds WHERE run_id = 'run_p1'
+UNION ALL SELECT 'second', 'complete', 1, FALSE, COUNT(correct) FROM v_preds WHERE run_id = 'run_p1'
+UNION ALL SELECT 'broken', 'failed', 1, TRUE, NULL""")
+def _m17_refresh(v):
+    """A refresh of all configs that passed their gate: one of them fails, and the others run on."""
+    log, runs, preds = (scratch_path(v.spark, n) for n in ("configs", "runs", "predictions"))
+    configs = [_small(v, experiment_id=n, name=n) for n in ("first", "second")]
+    configs.append(_small(v, experiment_id="broken", name="broken", features=_UNKNOWN))
+    text = [{k: json.dumps(x) if k in lifecycle.SHAPES else x for k, x in c.items()} for c in configs]
+    lifecycle.add_configs(v.spark, log, v.spark.createDataFrame(text))
+    for c in configs:
+        own = lifecycle.load_config(v.spark, log, c["experiment_id"])
+        lifecycle.next_version(v.spark, log, own, status="complete", gate_passed=True)
+    lifecycle.refresh_production(v.spark, log, v.plays, v.games, stored(v), runs, preds, _SMALL_GUARDS)
+    done = v.spark.read.schema(RUNS).parquet(runs)
+    done = done.select("experiment_id", F.col("n_games_evaluated").alias("games"), F.col("error_message").isNotNull().alias("error_kept"))
+    own = lifecycle.heads(lifecycle.config_log(v.spark, log), "experiment_id")
+    return own.select("experiment_id", "status", "run_count").join(done, "experiment_id")
+
+
+@query("r2_rejected_versions", "experiment_id seq:i based_on:i accepted:b", """
+SELECT experiment_id, seq, based_on, rank = 1 AS accepted FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY experiment_id, based_on ORDER BY updated_at, seq) AS rank FROM (
+    SELECT experiment_id, seq, updated_at, CASE WHEN seq % 5 = 0 THEN LAG(seq, 2) OVER w ELSE LAG(seq) OVER w END AS based_on
+    FROM v_cfg_log WINDOW w AS (PARTITION BY experiment_id ORDER BY seq)) s) r""")
+def _r2_rejected(v):
+    """Every version of the log, and whether it stands; every fifth was made from a version older than the newest."""
+    w = Window.partitionBy("experiment_id").orderBy("seq")
+    on = F.when(F.col("seq") % 5 == 0, F.lag("seq", 2).over(w)).otherwise(F.lag("seq").over(w))
+    log = v.config_log.withColumns({"based_on": on, "writer": F.lpad(F.col("seq").cast("string"), 20, "0")})
+    return versions.judged(log, "experiment_id")
+
+
 @query("m15_situational_runs", "experiment_id status games:i", """
 SELECT 'default_late' AS experiment_id, 'complete' AS status, COUNT(correct) AS games FROM v_preds WHERE run_id = 'run_p1' AND week >= 6
 UNION ALL SELECT 'default_same_region', 'complete', COUNT(correct) FROM v_preds p JOIN v_games g USING (game_id) WHERE p.run_id = 'run_p1' AND g.div_game""")
 def _m15(v):
-    from fieldmark.session import scratch_path
-
     universes = {
         "late": {"field": "week", "operator": "gte", "value": "6"},
         "same_region": {"field": "div_game", "operator": "eq", "value": "true"},

@@ -54,18 +54,22 @@ def season_folds(games: DataFrame, train: int, step: int = 1) -> DataFrame:
     return folds_from_ranges(ranges.withColumn("train_seasons", F.lit(train)), step)
 
 
-def assign_roles(matrix: DataFrame, fold_rows: DataFrame, label: str = "home_covered") -> DataFrame:
-    """Each game once per fold it trains or is tested in.
-
-    Folds become (season -> fold, role) rows first, so this is an equi-join on season.
-    Training rows need a label; test rows keep pushes.
-    """
+def role_seasons(fold_rows: DataFrame) -> DataFrame:
+    """(fold, role, season): the seasons each fold trains on, and the one it tests."""
     train = fold_rows.select(
         "fold", F.lit("train").alias("role"), F.explode(F.sequence("train_from", "train_to")).alias("season")
     )
-    test = fold_rows.select("fold", F.lit("test").alias("role"), F.col("test_season").alias("season"))
-    joined = matrix.join(train.unionByName(test), "season")
-    return joined.where((F.col("role") == "test") | F.col(label).isNotNull())
+    return train.unionByName(fold_rows.select("fold", F.lit("test").alias("role"), F.col("test_season").alias("season")))
+
+
+def with_roles(matrix: DataFrame, roles: DataFrame, label: str = "home_covered") -> DataFrame:
+    """Games of the given (fold, role, season) rows. Training rows need a label; test rows keep pushes."""
+    return matrix.join(roles, "season").where((F.col("role") == "test") | F.col(label).isNotNull())
+
+
+def assign_roles(matrix: DataFrame, fold_rows: DataFrame, label: str = "home_covered") -> DataFrame:
+    """Each game once per fold it trains or is tested in; an equi-join on season."""
+    return with_roles(matrix, role_seasons(fold_rows), label)
 
 
 def universe_condition(field: str, operator: str, value) -> Column:

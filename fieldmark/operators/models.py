@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Boosted-tree settings of the two model versions.
@@ -70,31 +70,52 @@ def estimator(name: str, seed: int = DEFAULT_SEED, hyperparams: dict | None = No
     return MODELS[name](seed=seed, hyperparams=hyperparams)
 
 
-def standardise(tagged: DataFrame, cols: list[str]) -> DataFrame:
-    """Mean-fill and standardise per fold with moments of the fold's training rows only.
+def season_moments(matrix: DataFrame, cols: list[str], label: str = "home_covered", by: tuple[str, ...] = ("season",)) -> DataFrame:
+    """One row per season (or per ``by``): its games, its labelled ones, and count, mean and squared deviations of each column over those."""
+    labelled = F.col(label).isNotNull()
+    aggs = [F.count("*").alias("games"), F.count_if(labelled).alias("labelled")]
+    for c in cols:
+        value = F.when(labelled, F.col(c).cast("double"))
+        aggs.append(F.struct(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2")).alias(c))
+    return matrix.groupBy(*by).agg(*aggs)
+
+
+def fold_moments(seasons: DataFrame, roles: DataFrame | None, cols: list[str]) -> DataFrame:
+    """Mean and spread of each column over a fold's training rows, merged from its seasons' moments.
+
+    No game is read: a fold's moments come from as many rows as it has seasons. Without ``roles``
+    the moments given are those of (fold, season) already.
+    """
+    own = seasons if roles is None else roles.where(F.col("role") == "train").join(seasons, "season")
+    train = own.select(
+        "fold", "labelled", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}.*")) for c in cols])).alias("m")
+    ).select("fold", "labelled", "m.*")
+    whole = Window.partitionBy("fold", "column")
+    mean = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(whole), F.sum("n").over(whole))
+    apart = F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("_mean"), 2)
+    merged = train.withColumn("_mean", mean).groupBy("fold", "column").agg(
+        F.max("_mean").alias("mean"), F.sqrt(F.try_divide(F.sum(apart), F.sum("labelled"))).alias("sd")
+    )
+    return merged.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("mean", "sd")))).alias("moments"))
+
+
+def standardise(tagged: DataFrame, cols: list[str], moments: DataFrame | None = None) -> DataFrame:
+    """Mean-fill and standardise with the moments of each fold's training rows (``fold_moments``).
+
+    Without ``moments`` they are taken from the tagged training rows, each once a fold.
 
     The fill keeps the mean, and shrinks the variance by the share of rows that were present.
     A constant column is only centred; a column without training values becomes 0.
     """
-    train = tagged.where(F.col("role") == "train")
-    aggs = []
-    for c in cols:
-        value = F.col(c).cast("double")
-        aggs += [
-            F.avg(value).alias(f"_mean_{c}"),
-            F.sqrt(F.try_divide(F.var_pop(value) * F.count(value), F.count("*"))).alias(f"_sd_{c}"),
-        ]
-    moments = train.groupBy("fold").agg(*aggs)
+    if moments is None:
+        train = tagged.where(F.col("role") == "train")
+        moments = fold_moments(season_moments(train, cols, by=("fold", "season")), None, cols)
     out = {}
     for c in cols:
-        mean, sd = F.coalesce(F.col(f"_mean_{c}"), F.lit(0.0)), F.col(f"_sd_{c}")
+        mean, sd = F.coalesce(F.col("moments")[c]["mean"], F.lit(0.0)), F.col("moments")[c]["sd"]
         value = F.coalesce(F.col(c).cast("double"), mean)
         out[c] = (value - mean) / F.when(sd > 1e-12, sd).otherwise(1.0)
-    return (
-        tagged.join(moments, "fold", "left")
-        .withColumns(out)
-        .drop(*[f"{p}_{c}" for c in cols for p in ("_mean", "_sd")])
-    )
+    return tagged.join(moments, "fold", "left").withColumns(out).drop("moments")
 
 
 def assemble(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -19,9 +19,10 @@ from fieldmark.operators.folds import (
     DEFAULT_END,
     DEFAULT_START,
     DEFAULT_TRAIN,
-    assign_roles,
     filter_universe,
     folds,
+    role_seasons,
+    with_roles,
 )
 from fieldmark.operators.matrix import build_matrix, join_user
 from fieldmark.operators.mismatch import mismatch_flag
@@ -29,8 +30,10 @@ from fieldmark.operators.models import (
     DEFAULT_SEED,
     assemble,
     estimator,
+    fold_moments,
     importance_rows,
     positive_probability,
+    season_moments,
     standardise,
 )
 from fieldmark.operators.permute import permuted_copies, shuffle_labels
@@ -38,11 +41,42 @@ from fieldmark.operators.quality import require
 from fieldmark.operators.scoring import fold_metrics, gate, mean_importance, record, score, totals
 from fieldmark.schemas import GATE_HIT_RATE, GATE_MIN_GAMES, model_columns
 from fieldmark.session import ensure_checkpoint_dir, materialise
-from fieldmark.sources.sinks import append, append_predictions, error_record, run_record
+from fieldmark.sources.sinks import append, append_predictions, error_record, run_record, spread_for_write
 
 # Folds fitted at the same time. Each fit is a Spark job chain with idle gaps between its
 # iterations; running a few side by side fills them.
 PARALLEL_FOLDS = 8
+# Training games that one task of a fit holds.
+ROWS_PER_TASK = 20_000
+
+
+@dataclass
+class FoldInput:
+    """What the folds of a run read: the matrix by season, the seasons of each fold, and its moments.
+
+    The matrix is stored once, whatever the number of folds. A fold joins its seasons first, and Spark
+    prunes the other seasons' partitions at run time; its moments are one row.
+    """
+
+    matrix: DataFrame
+    roles: DataFrame
+    seasons: DataFrame
+    moments: DataFrame
+    cols: list[str]
+
+    def rows(self, role: str, fold: int | None = None) -> DataFrame:
+        """Standardised games of one role, of one fold or of all."""
+        roles = self.roles.where(F.col("role") == role)
+        roles = roles if fold is None else roles.where(F.col("fold") == fold)
+        return standardise(with_roles(self.matrix, roles), self.cols, self.moments)
+
+    def complete(self) -> dict[int, int]:
+        """Training games of the folds that have games of both roles; the run record tells how many of all folds that were."""
+        counts = self.roles.join(self.seasons, "season").groupBy("fold").agg(
+            F.sum(F.when(F.col("role") == "train", F.col("labelled"))).alias("train"),
+            F.sum(F.when(F.col("role") == "test", F.col("games"))).alias("test"),
+        )
+        return {r["fold"]: r["train"] for r in counts.where("train > 0 and test > 0").orderBy("fold").collect()}
 
 
 @dataclass
@@ -54,14 +88,16 @@ class Backtest:
     totals: DataFrame
     importance: DataFrame
     models: dict
-    prepared: DataFrame
+    input: FoldInput
 
 
-def prepare_folds(matrix: DataFrame, fold_rows: DataFrame, cols: list[str]) -> DataFrame:
-    """All folds standardised in one job and cut from their lineage."""
+def prepare_folds(matrix: DataFrame, fold_rows: DataFrame, cols: list[str]) -> FoldInput:
+    """One write of the matrix by season, one pass for the moments of its seasons."""
     ensure_checkpoint_dir(matrix.sparkSession)
-    tagged = assign_roles(matrix, fold_rows)
-    return materialise(assemble(standardise(tagged, cols), cols), "folds")
+    stored = materialise(spread_for_write(matrix, "season", ["game_id"]), "folds", "season")
+    roles = materialise(role_seasons(fold_rows), "roles")
+    seasons = materialise(season_moments(stored, cols), "seasons")
+    return FoldInput(stored, roles, seasons, materialise(fold_moments(seasons, roles, cols), "moments"), cols)
 
 
 def walk_forward(
@@ -77,34 +113,29 @@ def walk_forward(
 ) -> Backtest:
     """Fit on each fold's training rows, score its test season, and sum up.
 
-    Preprocessing of all folds is one job; the driver only loops over the fits.
+    Preprocessing is shared by all folds; the driver only loops over the fits.
     """
     spark = matrix.sparkSession
-    prepared = prepare_folds(matrix, fold_rows, cols)
-    # a fold is run if it has rows of both roles; the run record tells how many of all folds that were
-    sizes = prepared.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("a"), F.count_if(F.col("role") == "test").alias("b"))
-    present = [r["fold"] for r in sizes.where("a > 0 and b > 0").orderBy("fold").collect()]
+    ready = prepare_folds(matrix, fold_rows, cols)
+    present = ready.complete()
 
     def fit(fold: int):
-        rows = prepared.where((F.col("fold") == fold) & (F.col("role") == "train"))
-        train = rows.select("features", F.col("home_covered").cast("int").alias("label"))
-        return fold, estimator(model, seed, hyperparams).fit(train)
+        train = assemble(ready.rows("train", fold), cols).select("game_id", "features", F.col("home_covered").cast("int").alias("label"))
+        # trees draw their samples by place, so equal data has to lie equally, however its files do
+        dealt = train.repartition(-(-present[fold] // ROWS_PER_TASK), "game_id").sortWithinPartitions("game_id")
+        return fold, estimator(model, seed, hyperparams).fit(dealt.select("features", "label"))
 
     with ThreadPoolExecutor(max(1, min(parallel, len(present)))) as pool:
         models = dict(pool.map(inheritable_thread_target(spark)(fit), present))
 
-    test = prepared.where(F.col("role") == "test")
-    scored = [
-        positive_probability(models[f].transform(test.where(F.col("fold") == f))).drop("features")
-        for f in present
-    ]
+    scored = [positive_probability(models[f].transform(assemble(ready.rows("test", f), cols))).drop("features") for f in present]
     predictions = materialise(score(reduce(DataFrame.unionByName, scored)), "predictions")
     metrics = fold_metrics(predictions)
     importance = mean_importance(
         reduce(DataFrame.unionByName, [importance_rows(spark, models[f], cols, f) for f in present])
     )
     return Backtest(
-        predictions, metrics, totals(metrics, None, gate_hit_rate, gate_min_games), importance, models, prepared
+        predictions, metrics, totals(metrics, None, gate_hit_rate, gate_min_games), importance, models, ready
     )
 
 
@@ -114,8 +145,7 @@ def permutation_importance(run: Backtest, cols: list[str], seed: int = DEFAULT_S
     The fold models are already fitted, so every permuted copy is only scored, all features
     in one pass per fold.
     """
-    test = run.prepared.where(F.col("role") == "test")
-    copies = permuted_copies(test, cols, ["fold"], ["game_id"], seed, ("home_covered",))
+    copies = permuted_copies(run.input.rows("test"), cols, ["fold"], ["game_id"], seed, ("home_covered",))
     wide = assemble(copies, cols).select("fold", "game_id", "home_covered", "permuted_feature", "features")
     scored = reduce(
         DataFrame.unionByName,

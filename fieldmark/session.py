@@ -67,13 +67,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/fieldmark/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", partition: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
-    Cuts lineage, survives lost executors, and gives later stages column pruning and sizes.
+    Cuts lineage, survives lost executors, and gives later stages column pruning and sizes. With
+    ``partition`` later stages read only the values of that column they ask for.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.scratch_path = path
     return stored

@@ -90,3 +90,19 @@ def test_unknown_and_missing_models():
         models.estimator("random_forest")
     with pytest.raises(ValueError):
         models.estimator("nothing")
+
+
+def test_a_fold_reads_its_own_seasons_only(spark, matrix):
+    cols = ["home_ol_pass_epa_per_att", "sparse"]
+    ready = experiment.prepare_folds(matrix, folds.folds(spark, 2000, 2004, 3), cols)
+    assert ready.matrix.count() == matrix.count()  # one copy, whatever the number of folds
+    train = ready.rows("train", 1)
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["season"] for r in train.collect()} == {2000, 2001, 2002}
+    assert {r["season"] for r in ready.rows("test").collect()} == {2003, 2004}
+    assert list(ready.complete()) == [1, 2]
+    tagged = folds.assign_roles(matrix, folds.folds(spark, 2000, 2004, 3))
+    whole = {(r["fold"], r["role"], r["game_id"]): (r[cols[0]], r[cols[1]]) for r in models.standardise(tagged, cols).collect()}
+    merged = {(r["fold"], r["role"], r["game_id"]): (r[cols[0]], r[cols[1]]) for role in ("train", "test") for r in ready.rows(role).collect()}
+    assert whole.keys() == merged.keys() and all(whole[k] == pytest.approx(merged[k]) for k in whole)
