@@ -211,3 +211,31 @@ def _s1(v):
         .groupBy(season_of_date(day, 7).alias("july_season"), season_of_date(day, 9).alias("september_season"))
         .agg(F.count("*").alias("n"))
     )
+
+
+def _pages(first, key: list[str], limit: int):
+    """All pages, each begun after the last row of the one before, with the page's number; as a client turns them."""
+    out, after, number = None, None, 0
+    while True:
+        rows = first(after)
+        shown = rows.limit(limit).withColumn("page", F.lit(number))
+        out = shown if out is None else out.unionByName(shown)
+        seen, more = serve.has_more(rows.select(*key).collect(), limit)
+        if not more:
+            return out
+        after, number = tuple(seen[-1]), number + 1
+
+
+@query("f1_seek_pages", "game_id season:i week:i page:i", """
+SELECT game_id, season, week, (ROW_NUMBER() OVER (ORDER BY season DESC, week DESC, game_id) - 1) // 300 AS page FROM v_games""")
+def _f1_seek(v):
+    """Every page of all games, strung together."""
+    return _pages(lambda after: serve.games_after(v.games, 300, after), list(serve.NEWEST_FIRST), 300)
+
+
+@query("f5_seek_pages", "experiment_id run_id game_id season:i week:i page:i", f"""
+SELECT experiment_id, run_id, game_id, season, week, (ROW_NUMBER() OVER (ORDER BY season, week, game_id, experiment_id) - 1) // 100 AS page
+FROM v_preds p JOIN ({_NEWEST}) n USING (experiment_id, run_id) WHERE season = 1999""")
+def _f5_seek(v):
+    key = [*serve.CHRONOLOGICAL, "experiment_id"]
+    return _pages(lambda after: serve.predictions_after(v.predictions, v.prediction_runs, 100, after, season=1999), key, 100)

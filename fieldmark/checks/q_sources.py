@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.checks.register import query
+from fieldmark.checks.sql_views import VIEWS
+from fieldmark.operators import versions
 from fieldmark.operators.scoring import fold_metrics
+from fieldmark.plans import upload
 from fieldmark.schemas import PREDICTIONS, RUNS
 from fieldmark.session import scratch_path
 from fieldmark.sources import coerce, readers, sinks
@@ -234,3 +237,77 @@ def _a18(v):
 @query("a19_sample_rows", "game_id season:i", "SELECT game_id, season FROM v_games ORDER BY game_id LIMIT 20")
 def _a19(v):
     return sinks.sample_rows(v.games, 20, ["game_id"])
+
+
+# --- uploads: every order is a landed row of its status's dataset; some rows are spoilt, most of P's among them
+
+_UPLOAD = T.StructType(
+    [T.StructField("id", T.LongType(), False), T.StructField("owner", T.LongType(), False), T.StructField("price", T.DoubleType()), T.StructField("kind", T.StringType())]
+)
+_MALFORMED = "(o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 OR o_orderstatus = 'P' AND o_orderkey % 7 = 0)"
+_MISSING = f"(NOT {_MALFORMED} AND o_orderkey % 41 = 0)"
+VIEWS["v_upload"] = f"""
+SELECT concat('ds_', o_orderstatus) AS dataset_id, {_MALFORMED} AS malformed, {_MISSING} AS missing, NOT ({_MALFORMED} OR {_MISSING}) AS good,
+  o_orderkey % 5 = 0 AS no_kind FROM orders
+"""
+_UPLOAD_SQL = """
+SELECT dataset_id, CASE WHEN COUNT(*) FILTER (WHERE NOT good) > 0.1 * COUNT(*) THEN 'error' ELSE 'ready' END AS status,
+  COUNT(*) FILTER (WHERE malformed) AS malformed, COUNT(*) FILTER (WHERE missing) AS missing,
+  CASE WHEN COUNT(*) FILTER (WHERE NOT good) > 0.1 * COUNT(*) THEN NULL ELSE COUNT(*) FILTER (WHERE good) END AS stored FROM v_upload GROUP BY 1"""
+
+
+def _landed(v, kind: str):
+    """(dataset, line) of every order as text of a CSV or JSON file."""
+    key, kept = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority"))
+    owner = F.when(key % 41 != 0, F.col("o_custkey").cast("string"))
+    price = F.when(key % 31 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    spoilt = (key % 37 == 0) | ((F.col("o_orderstatus") == "P") & (key % 7 == 0))
+    if kind == "csv":
+        line = F.concat_ws(",", key.cast("string"), F.coalesce(owner, F.lit("")), price, F.coalesce(kept, F.lit("")))
+        line = F.when(spoilt, F.concat(line, F.lit(",more"))).otherwise(line)
+    else:
+        quoted = F.when(key % 31 == 0, F.lit('"n/a"')).otherwise(price)
+        line = F.concat(F.lit('{"id":'), key.cast("string"), F.lit(',"owner":'), F.coalesce(owner, F.lit("null")), F.lit(',"price":'), quoted, F.lit(',"kind":'), F.coalesce(F.concat(F.lit('"'), kept, F.lit('"')), F.lit("null")), F.lit("}"))
+        line = F.when(spoilt, F.substring(line, 1, 12)).otherwise(line)
+    return v.table("orders").select(F.concat(F.lit("ds_"), F.col("o_orderstatus")).alias("dataset_id"), line.alias("line"))
+
+
+def _uploaded(v, kind: str):
+    """(log, tables, columns, rejects) after each dataset's landed file has been processed."""
+    root = scratch_path(v.spark, f"upload-{kind}")
+    log, tables, columns, rejects = (f"{root}/{n}" for n in ("log", "tables", "columns", "rejects"))
+    _landed(v, kind).write.partitionBy("dataset_id").text(f"{root}/landed")
+    for name in ("ds_F", "ds_O", "ds_P"):
+        upload.add_upload(v.spark, log, name, name, f"{root}/landed/dataset_id={name}")
+        upload.process_upload(v.spark, name, _UPLOAD, log, tables, columns, rejects, kind, header=False, most_bad=0.1)
+    return log, tables, columns, rejects
+
+
+def _upload_report(v, kind: str):
+    log, _, _, rejects = _uploaded(v, kind)
+    own = versions.heads(upload.dataset_log(v.spark, log), "dataset_id").select("dataset_id", "status", F.col("row_count").alias("stored"))
+    lost = v.spark.read.parquet(rejects).groupBy("dataset_id").agg(
+        F.count_if(F.array_contains("reasons", "malformed")).alias("malformed"), F.count_if(F.array_contains("reasons", "missing owner")).alias("missing")
+    )
+    return own.join(lost, "dataset_id")
+
+
+@query("a5_upload_csv", "dataset_id status malformed:i missing:i stored:i", _UPLOAD_SQL)
+def _a5_upload(v):
+    """Every landed CSV row is stored or rejected with its reason; too many bad ones refuse the upload."""
+    return _upload_report(v, "csv")
+
+
+@query("a6_upload_json", "dataset_id status malformed:i missing:i stored:i", _UPLOAD_SQL)
+def _a6_upload(v):
+    return _upload_report(v, "json")
+
+
+@query("r5_upload_columns", "dataset_id column_name data_type null_rate:f is_join_key:b", """
+SELECT dataset_id, t.c AS column_name, CASE WHEN t.c = 'kind' THEN 'categorical' ELSE 'numeric' END AS data_type,
+  CASE WHEN t.c = 'kind' THEN ROUND(AVG(CASE WHEN no_kind THEN 1.0 ELSE 0.0 END), 6) ELSE 0 END AS null_rate, FALSE AS is_join_key
+FROM v_upload CROSS JOIN (VALUES ('id'), ('owner'), ('price'), ('kind')) AS t(c)
+WHERE good AND dataset_id <> 'ds_P' GROUP BY 1, 2""")
+def _r5_upload(v):
+    """Column rows of the accepted uploads."""
+    return v.spark.read.parquet(_uploaded(v, "csv")[2])

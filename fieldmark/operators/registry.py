@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from fieldmark.operators.compare import latest
 from fieldmark.operators.profile import column_profile
-from fieldmark.operators.serve import latest_runs
+from fieldmark.operators.serve import latest_runs, seek
+from fieldmark.operators.versions import heads
 from fieldmark.sources.sinks import append
 
 # Upload timeout in minutes, its message, and the run transitions allowed.
@@ -223,3 +224,31 @@ def patch(saved: DataFrame, changes: DataFrame, key: str, cols: list[str]) -> Da
         .withColumns({c: F.coalesce(f"_new_{c}", c) for c in cols})
         .drop(*[f"_new_{c}" for c in cols])
     )
+
+
+# --- saved configs: a log of versions, a tombstone for one that is deleted
+
+NEWEST_SAVED = {"created_at": False, "framework_id": True}
+
+
+def saved_configs(log: DataFrame) -> DataFrame:
+    """Saved configs that are not deleted, as their newest accepted versions have them."""
+    return heads(log, "framework_id").where(~F.coalesce(F.col("deleted"), F.lit(False)))
+
+
+def list_saved(log: DataFrame, limit: int, after: tuple | None = None) -> DataFrame:
+    """A page of saved configs, newest first, after the given (created_at, framework_id)."""
+    return seek(saved_configs(log), NEWEST_SAVED, limit, after)
+
+
+def saved_config(log: DataFrame, framework_id: str) -> DataFrame:
+    """One saved config with its parts parsed; no row if there is none."""
+    own = saved_configs(log.where(F.col("framework_id") == framework_id))
+    parts = ",".join(f"{c}:string" for c in ["experiment_id", "name", *SNAPSHOT_FIELDS, "status"])
+    return own.withColumn("config", F.from_json("config_snapshot", f"struct<{parts}>"))
+
+
+def deleted_saved(log: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
+    """Versions to append that delete the given saved configs."""
+    found = saved_configs(log).join(ids.select("framework_id").distinct(), "framework_id", "left_semi")
+    return found.withColumns({"deleted": F.lit(True), "updated_at": at, "based_on": F.col("seq"), "seq": F.col("seq") + 1})

@@ -15,6 +15,25 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit + 1)
 
 
+def seek(df: DataFrame, keys: dict[str, bool], limit: int, after: tuple | None = None) -> DataFrame:
+    """The page after a row, plus one extra row: ``keys`` maps the order's columns to ascending or not.
+
+    ``after`` has that row's values of the key columns. A row comparison takes the place of an offset, so no
+    page reads or sorts what earlier ones showed: its first column prunes partitions and row groups, and each task
+    keeps ``limit + 1`` rows. The keys hold no nulls and tell rows apart; rows equal in all of
+    them would be passed over together.
+    """
+    order = [F.asc(c) if up else F.desc(c) for c, up in keys.items()]
+    if after is not None:
+        past = F.lit(False)
+        for (c, up), value in reversed(list(zip(keys.items(), after, strict=True))):
+            ahead = F.col(c) > F.lit(value) if up else F.col(c) < F.lit(value)
+            past = ahead | ((F.col(c) == F.lit(value)) & past)
+        first, up = next(iter(keys.items()))
+        df = df.where((F.col(first) >= F.lit(after[0]) if up else F.col(first) <= F.lit(after[0])) & past)
+    return df.orderBy(*order).limit(limit + 1)
+
+
 def has_more(rows: list, limit: int) -> tuple[list, bool]:
     return rows[:limit], len(rows) > limit
 
@@ -45,6 +64,15 @@ def list_games(games: DataFrame, limit: int, offset: int = 0, **filters) -> Data
     return page(find_games(games, **filters), order, limit, offset)
 
 
+NEWEST_FIRST = {"season": False, "week": False, "game_id": True}
+
+
+def games_after(games: DataFrame, limit: int, after: tuple | None = None, season: int | None = None, **filters) -> DataFrame:
+    """A page of games, newest first, after the given (season, week, game_id)."""
+    found = find_games(games, season, **filters) if season is not None else with_status(games)
+    return seek(found, NEWEST_FIRST, limit, after)
+
+
 def game_by_id(games: DataFrame, game_id: str) -> DataFrame:
     """Point lookup. The id decides; its season, where it names one, only skips partitions.
 
@@ -178,6 +206,11 @@ def list_predictions(preds: DataFrame, runs: DataFrame, limit: int, offset: int
     return page(latest_predictions(preds, runs, **filters), order, limit, offset)
 
 
+def predictions_after(preds: DataFrame, runs: DataFrame, limit: int, after: tuple | None = None, **filters) -> DataFrame:
+    """A page of each experiment's newest predictions in time order, after the given (season, week, game_id, experiment_id)."""
+    return seek(latest_predictions(preds, runs, **filters), {c: True for c in [*CHRONOLOGICAL, "experiment_id"]}, limit, after)
+
+
 def production_experiment(runs: DataFrame, configs: DataFrame, experiment_id: str | None = None) -> DataFrame:
     """Newest run whose run and config both passed the gate."""
     passed = runs.where("gate_passed")
