@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from fieldmark.llm.common import documents, store
 
 BLOCK, SHARD_SLOTS, BUCKET_ROWS, ROUNDS, RUN = 64, 1024, 4096, 16, 4096
+#: runs of slots in one task
+TASK_RUNS = 8
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,7 +81,9 @@ def source_targets(sizes: DataFrame, seed: int = 42) -> DataFrame:
 def slot_plan(targets: DataFrame) -> DataFrame:
     """shard, slot, source_no, block: which block each slot of each output shard holds."""
     runs = targets.filter("slots > 0").withColumn("run", F.explode(F.expr(f"sequence(0L, slots - 1, {RUN}L)")))
-    runs = runs.repartition("source_no", "run")
+    # a stated number of partitions, which adaptive execution leaves as it is: the rows are few, the work is not
+    count = targets.agg(F.sum(F.expr(f"(slots + {RUN - 1}) div {RUN}"))).first()[0] or 0
+    runs = runs.repartition(max(1, -(-count // TASK_RUNS)), "source_no", "run")
     runs = (
         runs.withColumn("keys0", F.expr(round_keys("(seed + source_no * 7919)", "blocks")))
         .withColumn("keys1", F.expr(round_keys("(seed + source_no * 7919 + 104729)", "blocks")))
@@ -129,7 +133,7 @@ def document_blocks(placed: DataFrame) -> DataFrame:
 def taken_blocks(placed: DataFrame, targets: DataFrame) -> DataFrame:
     """Documents' blocks that the mix takes, with ``times``, by joining slots to blocks by index."""
     times = slot_plan(targets).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    return document_blocks(placed).join(times, ["source_no", "block"])
+    return document_blocks(placed).join(times.hint("merge"), ["source_no", "block"])  # both grow with the data
 
 
 def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
@@ -156,7 +160,7 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     parts = parts.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.struct("first_word", "words", "times"))).alias("spans"), F.sum("words").alias("once"), F.sum(F.expr("if(times > 1, words, 0L)")).alias("twice")
     )
-    passes = sizes.select("rid", "size", "row").join(parts, "rid").withColumn("pass", F.explode(F.expr("if(twice > 0, array(1, 2), array(1))")))
+    passes = sizes.select("rid", "size", "row").join(parts.hint("merge"), "rid").withColumn("pass", F.explode(F.expr("if(twice > 0, array(1, 2), array(1))")))
     passes = passes.withColumn("spans", F.expr("filter(spans, s -> s.times >= pass)"))
     passes = passes.withColumn("whole", F.expr("if(pass = 1, once, twice) = size"))
     # the words are a lambda's argument, so that they are cut once a row and not once a span
