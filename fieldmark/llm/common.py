@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.session import materialise
+from fieldmark.session import discard, materialise
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -41,7 +41,36 @@ def store(df: DataFrame, name: str) -> DataFrame:
         spark__sql__execution__arrow__maxBytesPerBatch=str(8 << 20),
         spark__sql__parquet__compression__codec="zstd",
     ):
-        return materialise(df, f"llm-{name}")
+        stored = materialise(df, f"llm-{name}")
+    if _passing:
+        _passing[-1].append(stored)
+    return stored
+
+
+_passing: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing():
+    """Tables stored inside the block are deleted at its end, but for those given to the function it yields.
+
+    What a block returns may read only tables it has kept.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _passing.append(made)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _passing.pop()
+        discard(*[t for t in made if not any(t is k for k in kept)])
+        if _passing:
+            _passing[-1].extend(kept)
 
 
 def documents(docs: DataFrame, *columns: str) -> DataFrame:

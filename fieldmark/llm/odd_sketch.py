@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.llm.common import GOLDEN, RollingHash, documents, mix, shingles, slices, store, text_bytes, word_hashes
+from fieldmark.llm.common import GOLDEN, RollingHash, documents, mix, passing, settings, shingles, slices, store, text_bytes, word_hashes
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 WORD_HASH = 7001
-SIGNATURE = "id long, n long, digest binary, bands array<long>, sketch array<long>"
+SIGNATURE = "id long, hash long, n long, digest binary, bands array<long>, sketch array<long>"
 
 
 def _sets(batch: pa.RecordBatch, text: str, n: int, hasher: RollingHash) -> Iterator[np.ndarray]:
@@ -56,7 +56,7 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """One row per document: size and digest of its set, band hashes and odd sketch."""
+    """One row per document: hash of its text, size and digest of its set, band hashes and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash(WORD_HASH, fold_case=True)
@@ -89,16 +89,17 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, n: int) -> Dat
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("hash"),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                names=["id", "n", "digest", "bands", "sketch"],
+                names=["id", "hash", "n", "digest", "bands", "sketch"],
             )
 
     rows = documents(docs, id_column, text_column).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    return rows.mapInArrow(run, SIGNATURE)
+    return rows.withColumn("hash", F.xxhash64("text")).mapInArrow(run, SIGNATURE)
 
 
 def most_bits(threshold: float, slack: float = 5.5) -> int:
@@ -164,8 +165,11 @@ def full_sets(nodes: DataFrame, classes: DataFrame, rows: DataFrame, n: int) ->
                 [pa.array(nids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["nid", "found"]
             )
 
-    joined = rows.join(wanted.withColumnRenamed("rep", "id"), "id").select("nid", "digest", "text")
-    return store(joined.mapInArrow(run, "nid long, found array<long>").dropDuplicates(["nid"]), "sets")
+    # few texts are wanted: Spark drops the others by a Bloom filter of the ids before the exchange
+    chosen = wanted.withColumnRenamed("rep", "id").filter("nid >= 0").hint("merge")
+    joined = rows.join(chosen, "id").select("nid", "digest", "text")
+    with settings(rows.sparkSession, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0"):
+        return store(joined.mapInArrow(run, "nid long, found array<long>").dropDuplicates(["nid"]), "sets")
 
 
 def linkable(sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +219,13 @@ def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (it is that id)."""
-    signed = store(signatures(docs, id_column, text_column, words), "signatures")
+    with passing() as keep:
+        return _judged(docs, words, percent, id_column, text_column, keep).drop("hash")
+
+
+def _judged(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str, keep) -> DataFrame:
+    """``near_duplicates`` with the hash of each text; ``keep`` is told which stored tables it reads."""
+    signed = keep(store(signatures(docs, id_column, text_column, words), "signatures"))
     rows = documents(docs, id_column, text_column).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     classes = (
         signed.filter("n > 0 and id is not null")
@@ -291,12 +301,13 @@ def near_duplicates(
     lowest = labels.join(classes.select(F.col("nid").alias("node"), "rep"), "node")
     lowest = lowest.groupBy("component").agg(F.min("rep").alias("lowest"))
     named = named.join(lowest.withColumnRenamed("component", "c"), "c", "left")
-    named = store(named.select("digest", F.coalesce("lowest", "rep").alias("component_id")), "named")
+    named = keep(store(named.select("digest", F.coalesce("lowest", "rep").alias("component_id")), "named"))
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return (
-        signed.select("id", "n", "digest")
+        signed.select("id", "hash", "n", "digest")
         .join(named, "digest", "left")
         .select(
+            "hash",
             F.col("id").alias("doc_id"),
             F.col("n").alias("n_shingles"),
             F.when(F.col("id").isNotNull(), alone).alias("component_id"),
@@ -308,17 +319,21 @@ def near_duplicates(
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are near duplicates of a kept one; columns unchanged.
 
-    Rows that share an id and the text count as one document.
+    Rows that share an id and the text count as one document. Rows that share an id with different texts are
+    judged each by its own: of those in the group the id stands for one stays, and of the others those
+    that have no words.
     """
-    judged = near_duplicates(docs, words, percent)
-    act = "act"
-    while act in docs.columns:
-        act += "_"
-    dropped = judged.filter("not kept").select("doc_id").distinct().withColumn(act, F.lit("drop"))
-    twice = judged.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1")
-    twice = twice.select("doc_id", F.lit("once").alias(act))
-    acts = store(dropped.union(twice).groupBy("doc_id").agg(F.min(act).alias(act)), "acts")
-    marked = docs.join(acts, "doc_id", "left")
+    act, own = "act", "own"
+    while {act, own} & set(docs.columns):
+        act, own = act + "_", own + "_"
+    with passing() as keep:
+        rows = _judged(docs, words, percent, "doc_id", "text", lambda table: table).filter("doc_id is not null")
+        stays = F.col("kept") & (F.col("n_shingles") > 0)
+        each = rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.max(~F.col("kept")).alias("gone"), F.min(F.when(stays, F.col("hash"))).alias(own))
+        each = each.filter("k > 1 or gone").select("doc_id", F.when(F.col("k") > 1, "many").otherwise("drop").alias(act), own)
+        acts = keep(store(each, "acts"))
+    marked = docs.join(acts.hint("merge"), "doc_id", "left")
     single = marked.filter(F.col(act).isNull()).select(*docs.columns)
-    repeated = marked.filter(F.col(act) == "once").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    many = marked.filter((F.col(act) == "many") & (wordless | (F.xxhash64("text") == F.col(own))))
+    return single.unionByName(many.dropDuplicates(["doc_id", "text"]).select(*docs.columns))

@@ -94,3 +94,12 @@ def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(1000, 1001)], "u long, v long")
     got = dict(components(chain).collect())
     assert all(got[i] == 0 for i in range(41)) and got[1001] == 1000
+
+
+def test_an_id_with_two_texts_keeps_the_unique_one(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta " * 3, "one two three four five six seven", "some quite other text with words of its own")
+    rows = [(1, a), (5, b), (5, a), (7, c), (9, ""), (9, " "), (9, b + " eight"), (11, c), (11, "x y z"), (11, "x y z"), (None, a)]
+    kept = sorted(map(tuple, one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert kept == sorted([(1, a), (5, b), (7, c), (9, ""), (9, " "), (9, b + " eight"), (11, "x y z"), (None, a)], key=repr)
+    found = spark.createDataFrame([(3, a), (3, a + " more")], "doc_id long, text string")
+    assert one_of_each_group(found).count() == 1
