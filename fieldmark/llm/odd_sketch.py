@@ -272,10 +272,16 @@ def _judged(docs: DataFrame, words: int, percent: int, id_column: str, text_colu
         own = labels.select(F.col("node").alias(node), F.col("component").alias(label))
         return df.join(own, node, "left").withColumn(label, F.coalesce(label, node))
 
+    def merged(links: DataFrame) -> DataFrame:
+        """Labels after further links: only the components they touch are joined, not the nodes again."""
+        between = labelled(labelled(links, "u", "cu"), "v", "cv").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        more = store(components(between, "merged"), "merged")
+        moved = labels.join(more.toDF("component", "low"), "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+        return store(moved.union(more.join(labels, "node", "left_anti")), "labels")
+
     others = pairs.join(nearest, ["u", "v"], "left_anti")
     others = labelled(labelled(others, "u", "cu"), "v", "cv").filter("cu <> cv").select("u", "v")
-    links = links.union(confirmed(others, sets, percent))
-    labels = store(components(links), "labels")
+    labels = merged(confirmed(others, sets, percent))
 
     # buckets of three or more that still hold several components: all but the largest against the rest
     spread = labelled(members.filter("n > 2"), "nid", "c")
@@ -294,8 +300,7 @@ def _judged(docs: DataFrame, words: int, percent: int, id_column: str, text_colu
         & reachable("u", "v", percent)
         & (_far("su", "sv") <= allowed)
     )
-    last = confirmed(across.select("u", "v").distinct(), sets, percent)
-    labels = store(components(links.union(last)), "labels")
+    labels = merged(confirmed(across.select("u", "v").distinct(), sets, percent))
 
     named = labelled(classes.select("nid", "rep", "digest"), "nid", "c")
     lowest = labels.join(classes.select(F.col("nid").alias("node"), "rep"), "node")
@@ -332,7 +337,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
         each = rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.max(~F.col("kept")).alias("gone"), F.min(F.when(stays, F.col("hash"))).alias(own))
         each = each.filter("k > 1 or gone").select("doc_id", F.when(F.col("k") > 1, "many").otherwise("drop").alias(act), own)
         acts = keep(store(each, "acts"))
-    marked = docs.join(acts.hint("merge"), "doc_id", "left")
+    marked = docs.join(acts.hint("shuffle_hash"), "doc_id", "left")  # texts pass by, and are not sorted
     single = marked.filter(F.col(act).isNull()).select(*docs.columns)
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     many = marked.filter((F.col(act) == "many") & (wordless | (F.xxhash64("text") == F.col(own))))
