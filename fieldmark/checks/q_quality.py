@@ -128,7 +128,7 @@ def _c1_plays(v):
 @query("c9_orphan_plays", "game_id n:i", """
 SELECT game_id, COUNT(*) AS n FROM v_plays WHERE game_id NOT IN (SELECT game_id FROM v_games) GROUP BY 1""")
 def _c9(v):
-    return quality.orphan_plays(v.plays, v.games).groupBy("game_id").agg(F.count("*").alias("n"))
+    return quality.orphan_counts(v.plays, v.games)
 
 
 _D26 = check_sql("plays_rows", "SELECT season AS scope, COUNT(*) AS value FROM v_plays GROUP BY 1", *PLAY_RANGE)

@@ -98,38 +98,39 @@ def play_counts(plays: DataFrame) -> DataFrame:
     return plays.groupBy("game_id", "season").agg(F.count("*").alias("play_count"))
 
 
-def team_game_stats(plays: DataFrame) -> DataFrame:
-    """Pass and rush attempts and yards per game and team with the ball."""
+STAT_LINE = ["pass_attempts", "rush_attempts", "total_yards", "pass_yards", "rush_yards"]
+
+
+def _ball_lines(plays: DataFrame) -> DataFrame:
+    """Plays, attempts and yards per game and team with the ball; plays of no team have a line of their own."""
     passing, rushing = F.col("play_type") == "pass", F.col("play_type") == "run"
     yards = F.col("yards_gained")
-    return (
-        plays.where(F.col("posteam").isNotNull())
-        .groupBy("game_id", "season", F.col("posteam").alias("team"))
-        .agg(
-            F.count_if(passing).alias("pass_attempts"),
-            F.count_if(rushing).alias("rush_attempts"),
-            F.sum(yards).alias("total_yards"),
-            F.sum(F.when(passing, yards).otherwise(0)).alias("pass_yards"),
-            F.sum(F.when(rushing, yards).otherwise(0)).alias("rush_yards"),
-        )
+    return plays.groupBy("game_id", "season", F.col("posteam").alias("team")).agg(
+        F.count("*").alias("plays"),
+        F.count_if(passing).alias("pass_attempts"),
+        F.count_if(rushing).alias("rush_attempts"),
+        F.sum(yards).alias("total_yards"),
+        F.sum(F.when(passing, yards).otherwise(0)).alias("pass_yards"),
+        F.sum(F.when(rushing, yards).otherwise(0)).alias("rush_yards"),
     )
 
 
-STAT_LINE = ["pass_attempts", "rush_attempts", "total_yards", "pass_yards", "rush_yards"]
+def team_game_stats(plays: DataFrame) -> DataFrame:
+    """Pass and rush attempts and yards per game and team with the ball."""
+    return _ball_lines(plays.where(F.col("posteam").isNotNull())).drop("plays")
 
 
 def game_detail(games: DataFrame, plays: DataFrame) -> DataFrame:
     """Each game with its play count and both teams' stat lines, as nested columns.
 
-    Plays are reduced to (game, team) once; the game rows pick their two lines from a map.
+    Plays are read and reduced to (game, team) once; the game rows pick their two lines from a map.
     """
-    lines = team_game_stats(plays)
-    per_game = lines.groupBy("game_id", "season").agg(
-        F.map_from_entries(F.collect_list(F.struct("team", F.struct(*STAT_LINE)))).alias("_lines")
+    line = F.when(F.col("team").isNotNull(), F.struct("team", F.struct(*STAT_LINE)))
+    per_game = _ball_lines(plays).groupBy("game_id", "season").agg(
+        F.sum("plays").alias("play_count"), F.map_from_entries(F.collect_list(line)).alias("_lines")
     )
     return (
         with_status(games)
-        .join(play_counts(plays), ["game_id", "season"], "left")
         .join(per_game, ["game_id", "season"], "left")
         .withColumns(
             {

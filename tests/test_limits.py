@@ -90,3 +90,23 @@ def test_clusters_need_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_root(Session())
+
+
+def test_orphans_and_game_details_shuffle_counts_and_read_plays_once(spark, tmp_path):
+    from fieldmark.operators import quality, serve
+
+    path = str(tmp_path / "plays")
+    rows = [("g1", 1, "A", "pass", 5), ("g1", 1, None, "punt", None), ("g1", 1, "B", "run", 3), (None, 1, "A", "run", 1), ("g9", 1, "A", "run", 2), ("g9", 1, "A", "run", 2)]
+    spark.createDataFrame(rows, "game_id string, season int, posteam string, play_type string, yards_gained int").write.parquet(path)
+    plays = spark.read.parquet(path)
+    games = spark.createDataFrame([("g1", 1, "A", "B", 1, 0), ("g2", 1, "A", "B", None, None)], "game_id string, season int, home_team string, away_team string, home_score int, away_score int")
+    lost = quality.orphan_counts(plays, games)
+    assert {r["game_id"]: r["n"] for r in lost.collect()} == {None: 1, "g9": 2}
+    assert sorted((r["game_id"], r["yards_gained"]) for r in quality.orphan_plays(plays, games).collect() if r["game_id"]) == [("g9", 2), ("g9", 2)]
+    assert quality.orphan_plays(plays, games).count() == 3
+    plan = lost._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.index("Aggregate")  # the plays are summed below the join
+    detail = serve.game_detail(games, plays)
+    found = {r["game_id"]: (r["play_count"], r["home_stats"] and r["home_stats"]["total_yards"], r["away_stats"] and r["away_stats"]["rush_yards"]) for r in detail.collect()}
+    assert found == {"g1": (3, 5, 3), "g2": (0, None, None)}
+    assert detail._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Scan parquet") == 1
