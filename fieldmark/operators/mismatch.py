@@ -69,8 +69,12 @@ def _z(value: Column, mu: Column, sd: Column) -> Column:
 
 
 def expanding_zscores(games: DataFrame, cols: list[str]) -> DataFrame:
-    """Add ``home_<c>_z`` and ``away_<c>_z``."""
-    joined = games.join(expanding_moments(games, cols), ["season", "week"], "left")
+    """Add ``home_<c>_z`` and ``away_<c>_z``.
+
+    The moments, one row a week, are stored first: Spark then sees their size and broadcasts them, and the games are
+    not dealt by a handful of hot weeks.
+    """
+    joined = games.join(materialise(expanding_moments(games, cols), "weekly"), ["season", "week"], "left")
     z = {
         f"{side}_{c}_z": _z(F.col(f"{side}_{c}"), F.col(f"{c}_mu"), F.col(f"{c}_sd"))
         for side in ("home", "away")
@@ -107,10 +111,11 @@ def expanding_cutoffs(scored: DataFrame) -> DataFrame:
 def mismatch_flag(games: DataFrame) -> DataFrame:
     """1: strong home offence meets weak away defence; 2: the reverse; 0: neither.
 
-    The scored games are stored once, since the cut-offs read them several times.
+    The scored games are stored once, since the cut-offs read them several times, and so are the cut-offs, which
+    Spark broadcasts by their size.
     """
     scored = materialise(composites(games), "composites")
-    cut = expanding_cutoffs(scored)
+    cut = materialise(expanding_cutoffs(scored), "cutoffs")
     joined = scored.join(cut, ["season", "week"], "left")
     enough = (F.col("off_n") >= MIN_POOL) & (F.col("def_n") >= MIN_POOL)
 

@@ -110,3 +110,15 @@ def test_orphans_and_game_details_shuffle_counts_and_read_plays_once(spark, tmp_
     found = {r["game_id"]: (r["play_count"], r["home_stats"] and r["home_stats"]["total_yards"], r["away_stats"] and r["away_stats"]["rush_yards"]) for r in detail.collect()}
     assert found == {"g1": (3, 5, 3), "g2": (0, None, None)}
     assert detail._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Scan parquet") == 1
+
+
+def test_weekly_cutoffs_meet_the_games_without_dealing_them_by_week(spark):
+    from fieldmark.operators import mismatch
+
+    rows = [(s, w, f"g{s}_{w}_{k}", *[float((7 * k + w * i) % 11) for i in range(1, 9)]) for s in (1, 2) for w in range(1, 9) for k in range(12)]
+    names = [f"{side}_{c} double" for side in ("home", "away") for c in mismatch.COMPOSITE_INPUTS]
+    games = spark.createDataFrame(rows, "season int, week int, game_id string, " + ", ".join(names))
+    flagged = mismatch.mismatch_flag(games)
+    assert flagged.count() == len(rows) and {r[0] for r in flagged.select("ol_mismatch_flag").distinct().collect()} > {0}
+    plan = flagged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
