@@ -87,7 +87,8 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     begins = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("begin"))
-    found = rows.join(begins, "shard").withColumn("start", F.col("begin") + F.col("shard_start"))
+    # broadcast at every size: a shard is a task of the writer, so there are no more rows than shuffle partitions
+    found = rows.join(F.broadcast(begins), "shard").withColumn("start", F.col("begin") + F.col("shard_start"))
     return found.select("doc_id", "start", "n_tokens", *["ids"] * ids)
 
 
