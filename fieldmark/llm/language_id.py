@@ -9,10 +9,12 @@ The probabilities are fitted by expectation-maximisation on word counts of a bou
 the labelled rows (``sample_docs`` per language, chosen by a hash of the id, whole texts).
 Everything else covers every row and every word.
 
-Words are runs of letters after lower-casing. Words over ``CHUNK`` bytes are cut there into parts
-that are segmented each for themselves. Defined cases: null texts and texts without letters are
-``und`` with score 0, as is everything when no labelled row exists; rows without a label are
-predicted but not learned from; repeated rows are predicted each; other columns are ignored.
+Words are runs of letters and combining marks that hold a letter, after lower-casing. Words over
+``CHUNK`` bytes are summed block by block: what a block makes of each of the sums before it is a
+matrix, and the matrices are applied in turn and rescaled, so pieces across a block's edge count.
+Only the fit, on its sample, takes such words in parts. Defined cases: null texts and texts without
+letters are ``und`` with score 0, as is everything when no labelled row exists; rows without a label
+are predicted but not learned from; repeated rows are predicted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from fieldmark.llm.bpe import vocabulary_path
 from fieldmark.llm.common import documents, slices
 
 UNDETERMINED = "und"
-CHUNK, END = 32, 0  # bytes a part holds at most; the byte that stands for a word's end
+CHUNK, END = 32, 0  # bytes of a word summed at once at most; the byte that stands for a word's end
+BLOCK, TOGETHER = 64, 128  # bytes of a block of a longer word; blocks in memory at a time
 SCALE = 20.0  # per byte, so that products of small probabilities stay representable
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
 
@@ -54,16 +57,18 @@ def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words, index of each word in them, index of the first word of each text)."""
     texts = pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
     lists = pc.split_pattern_regex(texts, NOT_LETTERS)
-    flat = lists.flatten()
     offs = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    runs = lists.flatten().dictionary_encode()
+    lettered = pc.match_substring_regex(runs.dictionary, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
+    indices = runs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    some = lettered[indices]
+    number = np.cumsum(lettered) - 1
     seen = np.concatenate([[0], np.cumsum(some)])
-    words = flat.filter(pa.array(some)).dictionary_encode()
-    return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), seen[offs]
+    return runs.dictionary.filter(pa.array(lettered)), number[indices[some]], seen[offs]
 
 
 def parts_of(words: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """(byte strings to segment, index of the first part of each word)."""
+    """(byte strings to segment in a fit, index of the first part of each word)."""
     parts, first = [], [0]
     for word in words:
         raw = word.encode() + bytes([END])
@@ -163,6 +168,48 @@ def forward(lattice: Lattice, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def long_word_sums(lattice: Lattice, p: np.ndarray) -> np.ndarray:
+    """Log of the scaled sum over all segmentations, [place, language], of words of any length.
+
+    A block turns the sums at the positions before it, as many as the longest piece has bytes, into
+    those at its end. This is linear, so blocks are worked out together, each from every such
+    position alone; a word's blocks are then applied in order, and rescaled after each.
+    """
+    reach, languages = max(1, len(lattice.pieces)), p.shape[1]
+    size = max(BLOCK, reach)
+    blocks = -(-lattice.length // size)
+    word = np.repeat(np.arange(len(blocks)), blocks)
+    nth = np.arange(len(word)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    start = lattice.base[word] + nth * size
+    length = np.minimum(size, lattice.length[word] - nth * size)
+    out = np.zeros((len(blocks), languages))
+    state = np.zeros((reach, languages))
+    for at in range(0, len(word), TOGETHER):
+        own = slice(at, at + TOGETHER)
+        first, n = start[own], length[own]
+        sums = np.zeros((len(first), reach + size, reach, languages))  # place reach - 1 + i: i bytes into the block
+        sums[:, np.arange(reach), np.arange(reach)] = 1.0
+        for e in range(1, size + 1):
+            for k, piece in enumerate(lattice.pieces):
+                begin = first + e - 1 - k
+                found = np.where((e <= n) & (begin >= lattice.base[word[own]]), piece[np.clip(begin, 0, len(piece) - 1)], -1)
+                hit = np.flatnonzero(found >= 0)
+                if len(hit):
+                    sums[hit, reach - 1 + e] += sums[hit, reach - 2 + e - k] * p[found[hit]][:, None]
+        for i in range(len(first)):
+            w = word[at + i]
+            if nth[at + i] == 0:
+                state = np.zeros((reach, languages))
+                state[-1] = 1.0
+            state = np.einsum("oij,ij->oj", sums[i, n[i] : n[i] + reach], state)
+            most = np.maximum(state.max(axis=0), 1e-300)
+            state /= most
+            out[w] += np.log(most)
+            if nth[at + i] == blocks[w] - 1:
+                out[w] += np.log(np.maximum(state[-1], 1e-300))
+    return out
+
+
 def expected_counts(lattice: Lattice, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses of each piece, by forward and backward sums; weight[part, language]: the parts' counts."""
     n, counts = len(lattice.base), np.zeros_like(p)
@@ -194,14 +241,17 @@ class LanguageModel:
     def log_likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(summed log probability of each text in each language, number of words)."""
         distinct, words, first = words_of(column)
-        parts, begins = parts_of(distinct.to_pylist())
-        lattice = self.pieces.lattice(parts)
-        total = np.zeros((len(parts), len(self.languages)))
-        alpha = forward(lattice, self.p)
-        last = lattice.base + np.arange(len(parts)) + lattice.length
-        total[lattice.order] = np.log(np.maximum(alpha[last], 1e-300)) - lattice.length[:, None] * np.log(SCALE)
-        sums = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(total, axis=0)])
-        each = sums[begins[1:]] - sums[begins[:-1]]
+        raw = [word.encode() + bytes([END]) for word in distinct.to_pylist()]
+        long = np.array([len(r) > CHUNK for r in raw], bool)
+        each = np.zeros((len(raw), len(self.languages)))
+        for chosen in (np.flatnonzero(~long), np.flatnonzero(long)):
+            lattice = self.pieces.lattice([raw[i] for i in chosen])
+            if len(chosen) and long[chosen[0]]:
+                sums = long_word_sums(lattice, self.p)
+            else:
+                last = lattice.base + np.arange(len(chosen)) + lattice.length
+                sums = np.log(np.maximum(forward(lattice, self.p)[last], 1e-300))
+            each[chosen[lattice.order]] = sums - lattice.length[:, None] * np.log(SCALE)
         out = np.zeros((len(first) - 1, each.shape[1]))
         texts = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for j in range(each.shape[1]):

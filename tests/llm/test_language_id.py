@@ -85,10 +85,37 @@ def test_awkward_rows(spark):
     assert L.identify(unlabelled.limit(0)).count() == 0
 
 
-def test_long_words_are_cut_and_summed():
-    model = L.fit({"xx": {"ab": 3}}, None, rounds=1)
-    likely, words = model.log_likelihoods(pa.array(["é" * 200 + " ab", None]))
-    assert words.tolist() == [2, 0] and np.isfinite(likely).all()
+def sum_by_position(word, table):
+    """Log of the sum over all segmentations, one position after another."""
+    logs = [0.0]
+    for e in range(1, len(word) + 1):
+        found = [logs[s] + math.log(table[word[s:e]]) for s in range(max(0, e - 40), e) if word[s:e] in table and logs[s] > -math.inf]
+        top = max(found, default=-math.inf)
+        logs.append(top + math.log(sum(math.exp(x - top) for x in found)) if found else -math.inf)
+    return logs[-1]
+
+
+def test_long_words_are_summed_whole():
+    model = L.fit({"xx": {"abcab": 3, "bca": 2}, "yy": {"cab": 5, "é": 1}}, None, rounds=2)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcé") for _ in range(n)) for n in (10, 30, 31, 32, 40, 63, 64, 65, 127, 128, 200, 700)] + ["é" * 200]
+    likely, n = model.log_likelihoods(pa.array([*words, " ".join(words), None]))
+    assert n.tolist() == [1] * len(words) + [len(words), 0]
+    every = L.vocabulary_pieces()
+    kept = [q for q in every if model.pieces.lattice([q]).pieces[len(q) - 1:] and model.pieces.lattice([q]).pieces[len(q) - 1][0] >= 0]
+    assert len(kept) == len(model.p)
+    for j in range(2):
+        table = {q: model.p[i, j] / L.SCALE ** len(q) for i, q in enumerate(kept)}
+        want = [sum_by_position(w.encode() + b"\0", table) for w in words]
+        assert np.allclose(likely[: len(words), j], want, rtol=1e-9)
+        assert math.isclose(likely[len(words), j], sum(want), rel_tol=1e-9)
+
+
+def test_marks_alone_are_no_letters(spark):
+    rows = [(1, "the house", "en"), (2, "der Hund", "de"), (3, "the dog", "en"), (4, "das Haus", "de")]
+    rows += [(10, "\u0301\u0302 123", None), (11, "\u0301 a\u0302", None), (12, "12 \u0301", "en")]
+    got = {r.doc_id: r.lang_pred for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[10] == got[12] == "und" and got[11] in ("de", "en")
 
 
 def test_texts_with_letters_stay_without_labels(spark):
