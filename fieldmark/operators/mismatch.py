@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldmark.operators.quantiles import quantiles
+from fieldmark.operators.quantiles import RANKED_ROWS, quantiles
 from fieldmark.session import materialise
 
 # The composites' inputs and cut-offs.
@@ -98,7 +98,7 @@ def expanding_cutoffs(scored: DataFrame) -> DataFrame:
     pooled = pool_sides(scored, ["ol_composite", "def_composite"])
     long = pooled.unpivot(["season", "week"], ["ol_composite", "def_composite"], "kind", "score")
     both = quantiles(
-        long, "score", {"p25": BOTTOM_QUARTILE, "p75": TOP_QUARTILE}, by=["season", "kind"], order="week"
+        long, "score", {"p25": BOTTOM_QUARTILE, "p75": TOP_QUARTILE}, by=["season", "kind"], order="week", ranked_rows=RANKED_ROWS
     )
     return both.groupBy("season", "week").agg(
         F.max(F.when(F.col("kind") == "ol_composite", F.col("p75"))).alias("off_p75"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldmark.functions.expr import right_closed_bin
-from fieldmark.operators.quantiles import quantiles
+from fieldmark.operators.quantiles import RANKED_ROWS, quantiles
 
 # Edges of the signed spread histogram.
 SPREAD_EDGES = [-30, -10, -6, -3, 0, 3, 6, 10, 30]
@@ -59,7 +59,7 @@ def quintile_accuracy(preds: DataFrame) -> DataFrame:
     """Accuracy per probability quintile with exact interpolated edges, bins right-closed."""
     decided = preds.where(F.col("correct").isNotNull())
     probs = {f"e{i}": i / 5 for i in range(1, 5)}
-    edges = quantiles(decided, "predicted_home_cover_prob", probs).select(F.struct(*probs)).scalar()
+    edges = quantiles(decided, "predicted_home_cover_prob", probs, ranked_rows=RANKED_ROWS).select(F.struct(*probs)).scalar()
     p = F.col("predicted_home_cover_prob")
     tagged = decided.withColumn("_e", edges)
     number: Column = F.lit(5)

@@ -39,6 +39,42 @@ def test_expanding_quantiles_match_pandas(spark):
     assert len(got) == 10
 
 
+@pytest.mark.parametrize("order", [None, "week"])
+@pytest.mark.parametrize("buckets,ranked_rows", [(4, 3), (2, 60)])
+def test_quantiles_cut_again_match_pandas(spark, order, buckets, ranked_rows):
+    rng = random.Random(buckets)
+    draw = lambda s: rng.choice([1.0, 2.0, rng.gauss(s, 2), rng.lognormvariate(0, 4)])
+    rows = [(s, w, draw(s or 0)) for s in (1, None) for w in range(1, 5) for _ in range(rng.randint(20, 60))]
+    rows += [(3, w, 5.0) for w in range(1, 5)] + [(4, 1, None)] + [(5, w, 0.0 if w < 4 else 9.0) for w in range(1, 5)]
+    df = spark.createDataFrame(rows, "season int, week int, x double")
+    found = quantiles(df, "x", {"a": 0.0, "b": 0.3, "c": 1.0}, by=["season"], order=order, buckets=buckets, ranked_rows=ranked_rows)
+    got = {(r["season"], r["week"] if order else 4): (r["n_values"], r["a"], r["b"], r["c"]) for r in found.collect()}
+    for (s, w), values in got.items():
+        pool = [x for t, v, x in rows if t == s and v <= w]
+        assert values[0] == len(pool)
+        assert values[1:] == pytest.approx(tuple(np.quantile(pool, [0, 0.3, 1])))
+    assert len(got) == (16 if order else 4)
+
+
+def test_a_huge_group_is_cut_until_ranked_buckets_are_small(spark, monkeypatch):
+    from fieldmark.operators import quantiles as module
+
+    seen, narrow = [], module._narrowed
+
+    def watched(*args):
+        seen.append(narrow(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(module, "_narrowed", watched)
+    df = spark.range(1_000_000).selectExpr("pow(double(id), 3) as x", "id % 3 as w")
+    got = quantiles(df, "x", {"q1": 0.25, "q3": 0.75}, ranked_rows=500).first()
+    assert got["n_values"] == 1_000_000
+    assert (got["q1"], got["q3"]) == pytest.approx(tuple(np.quantile(np.arange(1e6) ** 3, [0.25, 0.75])), rel=1e-12)
+    counts = seen[0][0]
+    sizes = [r["count"] for r in counts.groupBy("_path").count().collect()]
+    assert sizes and max(sizes) <= 500 and len(sizes) <= 4  # values of other buckets are gone
+
+
 def brute_z(pdf, col):
     out = {}
     for r in pdf.itertuples():
