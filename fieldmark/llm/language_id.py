@@ -293,7 +293,8 @@ def fit_sample(rows: DataFrame, sample_docs: int = 400, path: str | None = None)
     rows = rows.filter("lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_000))
-    sample = rows.join(sizes, "lang").filter(place * F.col("n") < F.lit(1_000_000 * sample_docs).cast("decimal(30,0)")).select("lang", "text")
+    # broadcast at every size: a row a language, fewer than the model's columns; texts are not dealt by language
+    sample = rows.join(F.broadcast(sizes), "lang").filter(place * F.col("n") < F.lit(1_000_000 * sample_docs).cast("decimal(30,0)")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
