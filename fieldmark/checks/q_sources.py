@@ -12,7 +12,7 @@ from fieldmark.operators.scoring import fold_metrics
 from fieldmark.plans import upload
 from fieldmark.schemas import PREDICTIONS, RUNS
 from fieldmark.session import scratch_path
-from fieldmark.sources import coerce, readers, sinks
+from fieldmark.sources import coerce, readers, schema_log, sinks
 
 _GAME = "game_id season:i week:i home_team away_team home_score:i away_score:i home_spread_close:f home_covered:b"
 
@@ -205,12 +205,12 @@ def _a15(v):
 SELECT game_id, season, NULL AS crowd, roof FROM v_games WHERE season < 1998
 UNION ALL SELECT game_id, season, hk AS crowd, NULL AS roof FROM v_games WHERE season >= 1998""")
 def _a16(v):
-    path = scratch_path(v.spark, "evolving")
+    path, log = scratch_path(v.spark, "evolving"), scratch_path(v.spark, "schemas")
     old = v.games.where("season < 1998").select("game_id", "season", "roof")
     new = v.games.where("season >= 1998").select("game_id", "season", F.col("hk").alias("crowd"))
-    sinks.append(old, path, "season")
-    sinks.append(new, path, "season")
-    stored = readers.read_table(v.spark, path, merge=True)
+    schema_log.write_logged(old, path, log, ["game_id"])
+    schema_log.write_logged(new, path, log, ["game_id"])
+    stored = schema_log.read_logged(v.spark, path, log)
     return sinks.evolve(stored.where("season < 1998").drop("crowd"), stored.where("season >= 1998").drop("roof"))
 
 
