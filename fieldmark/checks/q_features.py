@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from fieldmark.checks.register import query
 from fieldmark.checks.sql_views import COUNT_COLUMNS, RATES, SIDE_AGGREGATES
 from fieldmark.operators import situational, team_week
-from fieldmark.schemas import ADDED_RATES, BASE_RATES
+from fieldmark.plans import features
+from fieldmark.schemas import ADDED_RATES, BASE_RATES, PLAYS
+from fieldmark.session import scratch_path
+from fieldmark.sources.coerce import project_to
+from fieldmark.sources.sinks import replace_partitions
 
 KEY = "team season:i week:i"
 
@@ -17,7 +21,7 @@ def _spec(cols) -> str:
 
 
 def _family(name: str, side: str, family: str, keep: str) -> None:
-    cols = team_week.FAMILIES[family][2]
+    cols = team_week.FAMILIES[family][1]
     prefix = "def_" if side == "defence" else ""
     team = "posteam" if side == "offence" else "defteam"
     body = f"SELECT {team} AS team, season, week, " + ", ".join(
@@ -93,6 +97,25 @@ def _c3(v):
     return team_week.team_week_stats(v.plays)
 
 
+@query(
+    "a11_stats_from_stored_sums",
+    _spec([*team_week.COUNTS, "off_epa_per_play_raw"]),
+    "SELECT team, season, week, "
+    + ", ".join(f"CASE WHEN season = 1998 THEN 2 * {c} ELSE {c} END AS {c}" for c in team_week.COUNTS)
+    + ", off_epa_per_play_raw FROM v_stats",
+)
+def _a11_sums(v):
+    """Sums of all seasons; then the plays of one season land twice and only that season is summed anew."""
+    plays, sums = scratch_path(v.spark, "plays"), scratch_path(v.spark, "sums")
+    stored = project_to(v.plays, PLAYS)
+    replace_partitions(stored, plays, ["game_id"])
+    features.replace_sums(v.spark, plays, sums, [r["season"] for r in stored.select("season").distinct().collect()])
+    again = stored.where("season = 1998")
+    replace_partitions(again.union(again), plays, ["game_id"])
+    features.replace_sums(v.spark, plays, sums, [1998])
+    return features.stats_from_sums(v.spark, sums)
+
+
 @query("e1_prior_sums_base", _spec(f"{c}_cum" for c in team_week.BASE_COUNTS), "SELECT * FROM v_cum")
 def _e1(v):
     return team_week.prior_sums(team_week.team_week_stats(v.plays), team_week.BASE_COUNTS)

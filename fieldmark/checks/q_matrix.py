@@ -8,9 +8,12 @@ from fieldmark.checks.register import query
 from fieldmark.checks.sql_views import Z_INPUTS
 from fieldmark.operators import folds, matrix, mismatch, situational, team_week
 from fieldmark.plans.experiment import experiment_matrix
-from fieldmark.session import materialise
-from fieldmark.schemas import SITUATIONAL, TEAM_FEATURES, both_sides, model_columns
+from fieldmark.plans import features
+from fieldmark.session import materialise, scratch_path
+from fieldmark.schemas import PLAYS, SITUATIONAL, TEAM_FEATURES, both_sides, model_columns
+from fieldmark.sources.coerce import project_to
 from fieldmark.sources.readers import feature_games, feature_plays
+from fieldmark.sources.sinks import replace_partitions
 
 
 def build(v):
@@ -36,6 +39,16 @@ def _c5(v):
     return build(v)
 
 
+@query("c5_matrix_of_bucketed_features", "game_id season:i week:i home_covered:b " + _floats(model_columns()), "SELECT * FROM v_matrix")
+def _c5_bucketed(v):
+    """Plays to sums, sums to bucketed team features, features to games."""
+    plays, sums = scratch_path(v.spark, "plays"), scratch_path(v.spark, "sums")
+    stored_plays = project_to(v.plays, PLAYS)
+    replace_partitions(stored_plays, plays, ["game_id"])
+    features.replace_sums(v.spark, plays, sums, [r["season"] for r in stored_plays.select("season").distinct().collect()])
+    return features.matrix_from_sums(v.spark, sums, feature_games(v.games))
+
+
 @query(
     "b19_b26_context",
     "game_id home_advantage:i div_game:i roof_dome:i temp:f wind:f",

@@ -14,47 +14,13 @@ from fieldmark.functions.expr import at_least, eps_rate, pressured, sampled_rate
 from fieldmark.schemas import ADDED_RATES, BASE_RATES, MIN_SAMPLE
 
 KEY = ["team", "season", "week"]
+PAIR_KEY = ["posteam", "defteam", "season", "week", "kind"]
 
 # Explosive gain thresholds in yards.
 PASS_EXPLOSIVE_YARDS = 20
 RUN_EXPLOSIVE_YARDS = 10
 
 
-def _is(kind: str) -> Column:
-    return (F.col("play_type") == kind) & F.col("down").isNotNull()
-
-
-def _sum_if(cond: Column, value: Column) -> Column:
-    return F.sum(F.when(cond, value))
-
-
-def measures() -> dict[str, Column]:
-    """Per-group sums and counts; every one is additive over groups."""
-    run_play, pass_play, downed = _is("run"), _is("pass"), F.col("down").isNotNull()
-    epa, yards, cpoe = F.col("epa"), F.col("yards_gained"), F.col("cpoe")
-    sack, hit = F.coalesce(F.col("sack").cast("int"), F.lit(0)), F.coalesce(F.col("qb_hit").cast("int"), F.lit(0))
-    under_pressure = pass_play & (pressured(hit, sack) == 1)
-    return {
-        "pass_att": F.count_if(pass_play),
-        "sacks": _sum_if(pass_play, sack),
-        "qb_hits": _sum_if(pass_play, hit),
-        "pass_epa_sum": _sum_if(pass_play, epa),
-        "rush_att": F.count_if(run_play),
-        "rush_epa_sum": _sum_if(run_play, epa),
-        "rush_yards_sum": _sum_if(run_play, yards),
-        "pass_att_v2": F.count(F.when(pass_play, epa)),
-        "pass_explosive_count": _sum_if(pass_play, at_least(yards, PASS_EXPLOSIVE_YARDS)),
-        "pressure_play_count": F.count(F.when(under_pressure, epa)),
-        "pressure_epa_sum": _sum_if(under_pressure, epa),
-        "cpoe_sum": _sum_if(pass_play, cpoe),
-        "cpoe_count": F.count(F.when(pass_play, cpoe)),
-        "rush_att_v2": F.count(F.when(run_play, epa)),
-        "rush_explosive_count": _sum_if(run_play, at_least(yards, RUN_EXPLOSIVE_YARDS)),
-        "total_play_count": F.count(F.when(downed, epa)),
-        "total_epa_sum": _sum_if(downed, epa),
-    }
-
-
 # Output column -> measure, as seen by the team with the ball and by the team without it.
 OFFENCE_BASE = {
     c: c
@@ -89,15 +55,16 @@ BASE_COUNTS = [*OFFENCE_BASE, *DEFENCE_BASE]
 ADDED_COUNTS = [*OFFENCE_ADDED, *DEFENCE_ADDED]
 COUNTS = BASE_COUNTS + ADDED_COUNTS
 
-# Families of the per-side aggregates: the plays they keep and the columns they carry.
+# Families of the per-side aggregates: the kinds of play they cover, the columns they carry, and the
+# measure that is above 0 where a team has such plays.
 FAMILIES = {
-    "pass": (_is, "pass", ["pass_att", "sacks", "qb_hits", "pass_epa_sum"]),
-    "run": (_is, "run", ["rush_att", "rush_epa_sum", "rush_yards_sum"]),
-    "pass_added": (_is, "pass", ["pass_att_v2", "pass_explosive_count"]),
-    "run_added": (_is, "run", ["rush_att_v2", "rush_explosive_count"]),
-    "pressure": (_is, "pass", ["pressure_play_count", "pressure_epa_sum"]),
-    "cpoe": (_is, "pass", ["cpoe_sum", "cpoe_count"]),
-    "all": (None, None, ["total_play_count", "total_epa_sum"]),
+    "pass": (["pass"], ["pass_att", "sacks", "qb_hits", "pass_epa_sum"], "n"),
+    "run": (["run"], ["rush_att", "rush_epa_sum", "rush_yards_sum"], "n"),
+    "pass_added": (["pass"], ["pass_att_v2", "pass_explosive_count"], "n"),
+    "run_added": (["run"], ["rush_att_v2", "rush_explosive_count"], "n"),
+    "pressure": (["pass"], ["pressure_play_count", "pressure_epa_sum"], "hurried"),
+    "cpoe": (["pass"], ["cpoe_sum", "cpoe_count"], "cpoe_n"),
+    "all": (["pass", "run", "other"], ["total_play_count", "total_epa_sum"], "n"),
 }
 
 
@@ -118,38 +85,26 @@ def play_flags(plays: DataFrame) -> DataFrame:
 
 def side_stats(plays: DataFrame, side: str, family: str) -> DataFrame:
     """One aggregate family from one perspective; teams without such plays have no row."""
-    team = {"offence": "posteam", "defence": "defteam"}[side]
-    pick, kind, cols = FAMILIES[family]
-    keep = pick(kind) if pick else F.col("down").isNotNull()
-    all_measures = measures()
-    prefix = "def_" if side == "defence" else ""
-    out = (
-        plays.where(keep & F.col(team).isNotNull())
-        .groupBy(F.col(team).alias("team"), "season", "week")
-        .agg(*[F.coalesce(all_measures[c], F.lit(0)).alias(prefix + c) for c in cols])
+    kinds, cols, present = FAMILIES[family]
+    prefix, parts = ("def_", _DEFENCE_PARTS) if side == "defence" else ("", _OFFENCE_PARTS)
+    mine = F.col("has_ball") if side == "offence" else ~F.col("has_ball")
+    return (
+        side_sums(pair_week_sums(plays))
+        .where(mine & F.col("kind").isin(kinds))
+        .groupBy(*KEY)
+        .agg(F.sum(present).alias("_present"), *[F.coalesce(F.sum(parts[prefix + c][1]), F.lit(0)).alias(prefix + c) for c in cols])
+        .where("_present > 0")
+        .drop("_present")
     )
-    if family == "pressure":
-        return _with_plays(plays, out, team, _is("pass") & (pressured(F.col("qb_hit"), F.col("sack")) == 1))
-    if family == "cpoe":
-        return out.where(F.col(prefix + "cpoe_count") > 0)
-    return out
-
-
-def _with_plays(plays: DataFrame, stats: DataFrame, team: str, cond: Column) -> DataFrame:
-    keys = plays.where(cond).select(F.col(team).alias("team"), "season", "week")
-    return stats.join(keys, KEY, "left_semi")
 
 
 def offence_epa_per_play(plays: DataFrame) -> DataFrame:
     """All pass and run plays with a down: count, EPA sum and EPA per play (count at least 1)."""
     return (
-        scrimmage_plays(plays)
-        .where(F.col("posteam").isNotNull())
-        .groupBy(F.col("posteam").alias("team"), "season", "week")
-        .agg(
-            F.count("epa").alias("off_all_play_count"),
-            F.coalesce(F.sum("epa"), F.lit(0)).alias("off_all_epa_sum"),
-        )
+        side_sums(pair_week_sums(plays))
+        .where(F.col("has_ball") & F.col("kind").isin("pass", "run"))
+        .groupBy(*KEY)
+        .agg(F.sum("epa_n").alias("off_all_play_count"), F.coalesce(F.sum("epa"), F.lit(0)).alias("off_all_epa_sum"))
         .withColumn("off_epa_per_play_raw", _epa_per_play())
     )
 
@@ -179,7 +134,8 @@ def kind_measures() -> dict[str, Column]:
     epa, yards = F.col("epa"), F.col("yards_gained")
     sack, hit = F.coalesce(F.col("sack").cast("int"), F.lit(0)), F.coalesce(F.col("qb_hit").cast("int"), F.lit(0))
     limit = F.when(F.col("kind") == "pass", PASS_EXPLOSIVE_YARDS).otherwise(RUN_EXPLOSIVE_YARDS)
-    hurried = F.when(pressured(hit, sack) == 1, epa)
+    under_pressure = pressured(hit, sack) == 1
+    hurried = F.when(under_pressure, epa)
     return {
         "n": F.count("*"),
         "sacks": F.sum(sack),
@@ -188,6 +144,7 @@ def kind_measures() -> dict[str, Column]:
         "epa_n": F.count(epa),
         "yards": F.sum(yards),
         "explosive": F.sum(at_least(yards, limit)),
+        "hurried": F.count_if(under_pressure),
         "hurried_n": F.count(hurried),
         "hurried_epa": F.sum(hurried),
         "cpoe": F.sum("cpoe"),
@@ -221,30 +178,43 @@ _DEFENCE_PARTS = {
 }
 
 
-def team_week_stats(plays: DataFrame) -> DataFrame:
-    """All 28 counts on the team-week spine from one scan and without a join.
-
-    First pass: plain sums per (offence, defence, season, week, kind). Second pass, on that
-    small table: each row is seen by both teams, summed per team and kind, then the few rows of
-    a team-week are spread over the 28 columns.
-    """
-    pair_weeks = (
+def pair_week_sums(plays: DataFrame) -> DataFrame:
+    """Plain sums per (offence, defence, season, week, kind). Sums of parts of the plays may be kept and summed again."""
+    return (
         plays.withColumn("kind", play_kind())
         .where(F.col("kind").isNotNull())
-        .groupBy("posteam", "defteam", "season", "week", "kind")
+        .groupBy(*PAIR_KEY)
         .agg(*[e.alias(n) for n, e in kind_measures().items()])
     )
+
+
+def side_sums(pair_weeks: DataFrame) -> DataFrame:
+    """The same sums per team-week and kind, with the ball and without it."""
     both = F.array(
         F.struct(F.col("posteam").alias("team"), F.lit(True).alias("has_ball")),
         F.struct(F.col("defteam").alias("team"), F.lit(False).alias("has_ball")),
     )
-    sides = (
+    return (
         pair_weeks.select("*", F.inline(both))
         .where(F.col("team").isNotNull())
         .groupBy(*KEY, "has_ball", "kind")
         .agg(*[F.sum(n).alias(n) for n in kind_measures()])
     )
 
+
+def team_week_stats(plays: DataFrame) -> DataFrame:
+    """All 28 counts on the team-week spine from one scan and without a join.
+
+    First pass: plain sums per (offence, defence, season, week, kind). Second pass, on that
+    small table: each row is seen by both teams, summed per team and kind, then the few rows of
+    a team-week are spread over the 28 columns.
+    """
+    return stats_of_sums(pair_week_sums(plays))
+
+
+def stats_of_sums(pair_weeks: DataFrame) -> DataFrame:
+    """``team_week_stats`` of the plays behind ``pair_week_sums``."""
+
     def total(has_ball: bool, kinds: list[str], measure: str) -> Column:
         mine = F.col("has_ball") if has_ball else ~F.col("has_ball")
         picked = F.sum(F.when(mine & F.col("kind").isin(kinds), F.col(measure)))
@@ -252,7 +222,8 @@ def team_week_stats(plays: DataFrame) -> DataFrame:
 
     parts = {**{c: (True, *p) for c, p in _OFFENCE_PARTS.items()}, **{c: (False, *p) for c, p in _DEFENCE_PARTS.items()}}
     return (
-        sides.groupBy(*KEY)
+        side_sums(pair_weeks)
+        .groupBy(*KEY)
         .agg(
             F.max(F.col("kind") != "other").alias("_live"),
             *[total(*parts[c]).alias(c) for c in COUNTS],
@@ -408,7 +379,11 @@ def fill_week_one(df: DataFrame, league: DataFrame, cols: list[str]) -> DataFram
 
 def team_features(plays: DataFrame, as_of: int | None = None) -> DataFrame:
     """Base and additional features per team-week, week 1 filled, with sample flags."""
-    stats = team_week_stats(plays)
+    return features_of_stats(team_week_stats(plays), as_of)
+
+
+def features_of_stats(stats: DataFrame, as_of: int | None = None) -> DataFrame:
+    """``team_features`` from the counts of ``team_week_stats``."""
     rates = sample_flags(season_to_date(with_prior_season(stats)))
     cols = BASE_RATES + ADDED_RATES
     return fill_week_one(rates, league_means(full_season_rates(stats), cols, as_of), cols)
