@@ -14,7 +14,8 @@ with equal sets form one class at once, so copies are never compared with one an
    its group. Pairs whose sketches are too far apart go; the others are confirmed on the full sets
    and become links.
 4. Buckets that still hold several components compare the classes outside their largest
-   component with all others, again by sketch first and by what their own shingles leave possible.
+   component with all others, by odd sketches of the whole sets. Each differing bit stands for at least one
+   shingle that only one of the two has, so what differs in too many bits has no link for certain.
    No pair of one component is made.
 5. Components grow by repeated minimum labels over the links, in joins and sums.
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm.common import GOLDEN, RollingHash, documents, mix, passing, settings, shingles, slices, store, text_bytes, word_hashes
 
-BANDS, ROWS, SKETCH_BITS = 32, 4, 512
+BANDS, ROWS, SKETCH_BITS, WHOLE_BITS = 32, 4, 512, 2048
 WORD_HASH = 7001
 SIGNATURE = "id long, hash long, n long, digest binary, bands array<long>, sketch array<long>"
 
@@ -114,9 +115,9 @@ def most_bits(threshold: float, slack: float = 5.5) -> int:
     return math.ceil(expected + slack * math.sqrt(expected * (1 - expected / n) / 4))
 
 
-def _far(a: str, b: str):
+def _far(a: str, b: str, bits: int = SKETCH_BITS):
     """Population count of the XOR of two sketches."""
-    words = range(SKETCH_BITS // 64)
+    words = range(bits // 64)
     return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words)
 
 
@@ -194,6 +195,31 @@ def reachable(u: str, v: str, percent: int):
     return 100 * both >= percent * (F.col(f"size_{u}") + F.col(f"size_{v}") - both)
 
 
+def whole_sketches(sets: DataFrame) -> DataFrame:
+    """(nid, whole): the odd sketch of all shingles of a set, not of a sample."""
+
+    def run(batches):
+        for batch in batches:
+            whole = []
+            for found in batch["found"]:
+                places = (found.values.to_numpy().view(np.uint64) >> np.uint64(64 - WHOLE_BITS.bit_length() + 1)).astype(np.int64)
+                odd = np.bincount(places, minlength=WHOLE_BITS) & 1
+                whole.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["nid"], pa.array(whole, pa.list_(pa.int64()))], names=["nid", "whole"])
+
+    return sets.select("nid", "found").mapInArrow(run, "nid long, whole array<long>")
+
+
+def within(u: str, v: str, percent: int):
+    """Whether two sets could be similar enough: they differ in at least as many shingles as their whole sketches in bits.
+
+    With s the sum of the sizes and d the shingles that one of the two has, the similarity is (s - d) / (s + d). Exact: no
+    link is turned away, however the hashes fall.
+    """
+    size = F.col(f"size_{u}") + F.col(f"size_{v}")
+    return (100 + percent) * _far(f"whole_{u}", f"whole_{v}", WHOLE_BITS) <= (100 - percent) * size
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs(u, v)`` whose full sets share ``percent`` percent of their union; stored."""
 
@@ -238,7 +264,8 @@ def _judged(docs: DataFrame, words: int, percent: int, id_column: str, text_colu
     known = classes.select("nid", "sketch", F.size("sketch").alias("size"), F.size("sketch").alias("common"))
 
     def sides(u: str, v: str):
-        return known.toDF(u, f"s{u}", f"size_{u}", f"common_{u}"), known.toDF(v, f"s{v}", f"size_{v}", f"common_{v}")
+        base = known.select("nid", "sketch", "size", "common")
+        return base.toDF(u, f"s{u}", f"size_{u}", f"common_{u}"), base.toDF(v, f"s{v}", f"size_{v}", f"common_{v}")
 
     def near(pairs: DataFrame) -> DataFrame:
         left, right = sides("u", "v")
@@ -261,7 +288,8 @@ def _judged(docs: DataFrame, words: int, percent: int, id_column: str, text_colu
     sets = full_sets(nodes, classes, rows, words)
     able = store(linkable(sets, percent), "linkable")
     members = store(headed(members.select("nid", "bucket").join(able.select("nid", "own"), "nid")), "buckets")
-    known = store(classes.select("nid", "sketch").join(able.select("nid", "size", "common"), "nid"), "sketches")
+    known = classes.select("nid", "sketch").join(able.select("nid", "size", "common"), "nid")
+    known = store(known.join(whole_sketches(sets), "nid"), "sketches")
 
     pairs = store(to_head(members), "pairs")
     nearest = pairs.groupBy("u").agg(F.min(F.struct("own", "v")).alias("head")).select("u", "head.v")
@@ -288,17 +316,17 @@ def _judged(docs: DataFrame, words: int, percent: int, id_column: str, text_colu
     parts = spread.groupBy("bucket", "c").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", F.col("c").alias("main"))).alias("top"), F.count("*").alias("k"))
     main = main.filter("k > 1").select("bucket", "top.main")
-    torn = store(spread.join(main, "bucket").select("bucket", "nid", "head", "c", "main").join(known, "nid"), "torn")
-    own = ["sketch", "size", "common"]
-    left = torn.filter("c <> main").select("bucket", "head", *[F.col(x).alias(y) for x, y in zip(["nid", "c", *own], ["u", "cu", "su", "size_u", "common_u"])])
-    right = torn.select("bucket", "main", *[F.col(x).alias(y) for x, y in zip(["nid", "c", *own], ["v", "cv", "sv", "size_v", "common_v"])])
+    torn = store(spread.join(main, "bucket").select("bucket", "nid", "head", "c", "main").join(known.drop("sketch"), "nid"), "torn")
+    own = ["whole", "size", "common"]
+    left = torn.filter("c <> main").select("bucket", "head", *[F.col(x).alias(y) for x, y in zip(["nid", "c", *own], ["u", "cu", "whole_u", "size_u", "common_u"])])
+    right = torn.select("bucket", "main", *[F.col(x).alias(y) for x, y in zip(["nid", "c", *own], ["v", "cv", "whole_v", "size_v", "common_v"])])
     across = left.join(right, "bucket").filter(
         (F.col("cu") != F.col("cv"))
         & (F.col("u") != F.col("head"))
         & (F.col("v") != F.col("head"))
         & ((F.col("cv") == F.col("main")) | (F.col("u") < F.col("v")))
         & reachable("u", "v", percent)
-        & (_far("su", "sv") <= allowed)
+        & within("u", "v", percent)
     )
     labels = merged(confirmed(across.select("u", "v").distinct(), sets, percent))
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import types as T
 
-from fieldmark.llm.odd_sketch import components, near_duplicates, one_of_each_group
+from fieldmark.llm.odd_sketch import components, near_duplicates, one_of_each_group, whole_sketches, within
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -103,3 +103,43 @@ def test_an_id_with_two_texts_keeps_the_unique_one(spark):
     assert kept == sorted([(1, a), (5, b), (7, c), (9, ""), (9, " "), (9, b + " eight"), (11, "x y z"), (None, a)], key=repr)
     found = spark.createDataFrame([(3, a), (3, a + " more")], "doc_id long, text string")
     assert one_of_each_group(found).count() == 1
+
+
+def test_whole_sketches_turn_no_link_away(spark):
+    """Pairs on and around the bar, sets small and far larger than the sketch: the bitmap's bound holds for each link."""
+    rng = random.Random(5)
+    fresh = lambda k: [rng.getrandbits(64) - 2**63 for _ in range(k)]
+    sets, pairs = [], []
+    for k, size in enumerate([1, 2, 7, 20, 100, 300, 1000, 6000] * 6):
+        both, apart = fresh(size), rng.choice([0, 0.05, 0.14, 0.16, 0.18, 0.3])
+        extra = int(size * apart)
+        cut = rng.randint(0, extra)
+        sets += [(2 * k, sorted(both + fresh(cut))), (2 * k + 1, sorted(both + fresh(extra - cut)))]
+        pairs.append((2 * k, 2 * k + 1))
+    found = dict(sets)
+    frame_of = spark.createDataFrame(sets, "nid long, found array<long>")
+    known = whole_sketches(frame_of).join(frame_of.selectExpr("nid", "size(found) AS size"), "nid")
+    u, v = (known.selectExpr(f"nid AS {x}", f"whole AS whole_{x}", f"size AS size_{x}") for x in "uv")
+    joined = spark.createDataFrame(pairs, "u long, v long").join(u, "u").join(v, "v")
+    for percent in (80, 85):
+        kept = {r.u for r in joined.filter(within("u", "v", percent)).collect()}
+        share = {a: len(set(found[a]) & set(found[b])) / len(set(found[a]) | set(found[b])) for a, b in pairs}
+        assert {a for a, s in share.items() if 100 * s >= percent} <= kept
+        # sets that fill a small part of the bitmap are told apart; large ones fill it and are left to the full sets
+        clear = {a for a, s in share.items() if s < 0.78 and 100 <= len(found[a]) < 500}
+        assert clear and not clear & kept
+
+
+def test_a_torn_bucket_keeps_every_link(spark):
+    """Copies of one text edited in many places: near one another by sketch, linked here and there, in several components."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for k in range(90):
+        edited = list(base)
+        for at in rng.sample(range(len(base)), rng.choice([1, 3, 5, 6, 7, 8])):
+            edited[at] = f"x{rng.randrange(60)}"
+        rows.append((k, " ".join(edited)))
+    for n, percent in ((3, 85), (5, 80)):
+        got = sorted((tuple(r) for r in near_duplicates(frame(spark, rows), n, percent).collect()), key=repr)
+        assert got == brute(rows, n, percent)
