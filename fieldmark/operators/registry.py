@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.operators.compare import latest
 from fieldmark.operators.profile import column_profile
-from fieldmark.operators.serve import latest_runs, seek
+from fieldmark.operators.serve import latest_runs, seek, seek_pages
 from fieldmark.operators.versions import heads
 from fieldmark.sources.sinks import append
 
@@ -236,9 +236,10 @@ def saved_configs(log: DataFrame) -> DataFrame:
     return heads(log, "framework_id").where(~F.coalesce(F.col("deleted"), F.lit(False)))
 
 
-def list_saved(log: DataFrame, limit: int, after: tuple | None = None) -> DataFrame:
-    """A page of saved configs, newest first, after the given (created_at, framework_id)."""
-    return seek(saved_configs(log), NEWEST_SAVED, limit, after)
+def list_saved(log: DataFrame, limit: int, after: tuple | None = None, every: bool = False) -> DataFrame:
+    """A page of saved configs, newest first, after the given (created_at, framework_id); or ``every`` page, numbered."""
+    found = saved_configs(log)
+    return seek_pages(found, NEWEST_SAVED, limit) if every else seek(found, NEWEST_SAVED, limit, after)
 
 
 def saved_config(log: DataFrame, framework_id: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions.expr import game_status, is_scrimmage, season_of_game_id, team_code_ok
 from fieldmark.operators.compare import latest
 from fieldmark.operators.scoring import record
+from fieldmark.session import materialise
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -34,6 +35,25 @@ def seek(df: DataFrame, keys: dict[str, bool], limit: int, after: tuple | None =
     return df.orderBy(*order).limit(limit + 1)
 
 
+def seek_pages(df: DataFrame, keys: dict[str, bool], limit: int) -> DataFrame:
+    """Every page that turning ``seek`` from the first one shows, as rows with ``page`` (from 0), in a fixed number of jobs.
+
+    Turned one by one, n rows are n / limit reads of the frame. Here the rows are sorted by ranges of the keys once
+    and stored, and a row's place is its place in its range plus the rows of the ranges before it, so no task holds more
+    than a range. The keys tell rows apart, as for ``seek``; rows without the first key follow no row, so only the first
+    page can hold them.
+    """
+    order = [F.asc(c) if up else F.desc(c) for c, up in keys.items()]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "pages").withColumn("_range", F.shiftright("_place", 33))
+    sizes = ranged.groupBy("_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(sizes.select("_range", "_first", before.alias("_before")), "_range")
+    page = F.expr(f"(_before + _place - _first) div {int(limit)}").cast("int")
+    numbered = placed.withColumn("page", page).drop("_place", "_range", "_first", "_before")
+    return numbered.where((F.col("page") == 0) | F.col(next(iter(keys))).isNotNull())
+
+
 def has_more(rows: list, limit: int) -> tuple[list, bool]:
     return rows[:limit], len(rows) > limit
 
