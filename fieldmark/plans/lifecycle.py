@@ -23,6 +23,7 @@ from fieldmark.operators.registry import CANCELLABLE_FROM, RUNNABLE_FROM, refres
 from fieldmark.operators.versions import StaleVersion, commit, heads
 from fieldmark.plans.experiment import Backtest, run_experiment
 from fieldmark.schemas import EVALUATION_JSON, EXPERIMENT_CONFIGS, FEATURE_REFS_JSON, METHODOLOGY_JSON, MODEL_JSON
+from fieldmark.session import untagged
 from fieldmark.sources.coerce import project_to
 
 KEY = "experiment_id"
@@ -122,15 +123,16 @@ def run_config(
         done = True
         return result
     finally:
-        next_version(
-            spark,
-            log_path,
-            config,
-            status="complete" if done else "failed",
-            gate_passed=passed,
-            latest_run_id=run_id,
-            run_count=config.get("run_count", 0) + 1,
-        )
+        with untagged(spark):
+            next_version(
+                spark,
+                log_path,
+                config,
+                status="complete" if done else "failed",
+                gate_passed=passed,
+                latest_run_id=run_id,
+                run_count=config.get("run_count", 0) + 1,
+            )
 
 
 def tag_of(experiment_id: str) -> str:
