@@ -117,3 +117,19 @@ def test_flat_file_over_two_gigabytes(spark, tmp_path):
             f.write((token_scan.END_OF_TEXT).to_bytes(2, "little"))
     got = token_scan.count_tokens(token_scan.binary_blocks(spark, str(tmp_path), block_tokens=1 << 22)).orderBy("ordinal").collect()
     assert [(r.ordinal, r.n_tokens, r.ended) for r in got] == [(0, 10, True), (1, (1 << 30) - 11, True), (2, 4999, False)]
+
+
+def test_frequent_words_are_encoded_once_and_marks_cost_no_text(tokenizer):
+    words = WordEncoder(remembered=40)
+    seen, texts = [], [f"Often often, OFTEN%%% naïve... {' '.join('abcdefghij'[k] + c for c in 'klmnopqrstuvwxyz')}" for k in range(10)]
+
+    class Model:
+        def tokenize(self, text):
+            seen.append(text)
+            return tokenizer.model.tokenize(text)
+
+    words.model, words._others = Model(), lambda rest: [pytest.fail(f"{w} was encoded as a text") for w in rest]
+    for t in texts:
+        ids, _ = words.encode(pa.array([t]), 1)
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [1]
+    assert seen.count("often") == seen.count("%%%") == 1 and len(words.known) + len(words.earlier) < 80
