@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldmark.llm.bpe import encoder
-from fieldmark.llm.common import documents, settings, slices
+from fieldmark.llm.common import documents, settings, slices, small_batches, store
 from fieldmark.session import scratch_path
 
 SCHEMA = "doc_id long, shard int, seq long, shard_start long, n_tokens long, ids array<int>"
@@ -114,4 +114,5 @@ def round_trip(docs: DataFrame, end_id: int = 1, vocabulary: str | None = None)
     """Write the token files to the shared folder and describe each document from what they hold."""
     spark = docs.sparkSession
     path = write_tokens(docs, scratch_path(spark, "llm-tokens"), end_id, vocabulary)
-    return checksums(read_tokens(spark, path))
+    with settings(spark, **small_batches()):
+        return store(checksums(read_tokens(spark, path)), "token-sums")

@@ -4,8 +4,11 @@ import struct
 import zlib
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from fieldmark.llm.bpe import vocabulary_path
+from fieldmark.llm.common import settings
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_odd_sketch import brute as near
 
@@ -56,3 +59,16 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+def test_what_a_stage_returns_is_evaluated_in_small_batches(spark):
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 2000) as text", "'en' as lang", "'s' as source", "22000L as n_chars")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=str(64 << 20), spark__sql__parquet__columnarReaderBatchSize="4096"):
+        _, stage = corpus_pipeline.STAGES[0]
+        found = stage(spark, docs, SF).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+        assert found < 12 << 20 and int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
