@@ -140,7 +140,10 @@ def tag_of(experiment_id: str) -> str:
 
 
 def cancel(spark: SparkSession, log_path: str, experiment_id: str) -> None:
-    """Stop the Spark jobs of a running config; its runner then records it as failed."""
+    """Stop the Spark jobs of a running config; its runner then records it as failed.
+
+    A run that is between two jobs, or still reads whether its claim stands, goes on: cancel again.
+    """
     status = load_config(spark, log_path, experiment_id).get("status")
     if status not in CANCELLABLE_FROM:
         raise NotRunnable(f"{experiment_id} is {status!r}")
